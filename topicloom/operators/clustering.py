@@ -114,7 +114,7 @@ def nearest_to_centers(
     point = doubles(vector)
     scores = F.array(*[cosine(point, literal_vector(c)) for c in centers])
     scored = df.select(key, F.posexplode(scores).alias("cluster", "similarity"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("similarity"), key)
+    order = Window.partitionBy("cluster").orderBy(F.round("similarity", 12).desc(), key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -142,8 +142,9 @@ def cluster_centers(weights: DataFrame, sizes: DataFrame, cluster: str = "cluste
 
 
 def top_terms(centers: DataFrame, n: int = 6, cluster: str = "cluster") -> DataFrame:
-    """The ``n`` heaviest terms of each centre, ties by term."""
-    order = Window.partitionBy(cluster).orderBy(F.desc("weight"), "term")
+    """The ``n`` heaviest terms of each centre, ties by term. Weights are sums
+    in no fixed order, so they tie when equal to 12 digits."""
+    order = Window.partitionBy(cluster).orderBy(F.round("weight", 12).desc(), "term")
     return centers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 

@@ -54,16 +54,25 @@ def stemmed(spark: SparkSession, sf: str, stemmer: str = "s_strip") -> DataFrame
     return vocabulary.analyze(texts(spark, sf), stemmer=stemmer).select("doc_id", "words", "stems")
 
 
-def fitted_vocabulary(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    n_docs = table(spark, sf, "documents").count()
-    return vocabulary.fit_vocabulary(stemmed(spark, sf), n_docs), n_docs
+def stored_stems(spark: SparkSession, sf: str, stemmer: str = "s_strip") -> DataFrame:
+    """Tokenized and stemmed once, for queries that read the stems repeatedly."""
+    return materialize(stemmed(spark, sf, stemmer), "stems")
+
+
+def vocabulary_of(docs: DataFrame) -> tuple[DataFrame, int]:
+    n_docs = docs.count()
+    return vocabulary.fit_vocabulary(docs, n_docs), n_docs
+
+
+def weights_of(docs: DataFrame, idf_power: int = 1) -> DataFrame:
+    kept, n_docs = vocabulary_of(docs)
+    idf = materialize(weighting.idf_table(kept, n_docs), "idf")
+    terms = vocabulary.with_terms(weighting.by_key(docs.select("doc_id", "stems")))
+    return weighting.tfidf(terms, idf, idf_power=idf_power)
 
 
 def weighted(spark: SparkSession, sf: str, idf_power: int = 1) -> DataFrame:
-    kept, n_docs = fitted_vocabulary(spark, sf)
-    docs = weighting.by_key(table(spark, sf, "documents").select("doc_id", "text"))
-    terms = vocabulary.with_terms(vocabulary.analyze(docs, stemmer="s_strip"))
-    return weighting.tfidf(terms, weighting.idf_table(kept, n_docs), idf_power=idf_power)
+    return weights_of(stored_stems(spark, sf), idf_power)
 
 
 def given_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,9 +93,10 @@ def given_centers(spark: SparkSession, sf: str) -> list[list[float]]:
     return [list(r["m"]) for r in rows.select("label", "m.mean").toDF("label", "m").orderBy("label").collect()]
 
 
-def lang_centers(spark: SparkSession, sf: str) -> DataFrame:
+def lang_centers(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
     clusters = given_clusters(spark, sf)
-    labelled = clustering.attach_cluster(weighted(spark, sf), clusters)
+    weights = weights_of(docs if docs is not None else stored_stems(spark, sf))
+    labelled = clustering.attach_cluster(weights, clusters)
     return clustering.cluster_centers(labelled, clustering.cluster_sizes(clusters))
 
 
@@ -237,8 +247,9 @@ def attach_cluster(spark, sf):
 
 @query
 def stem_to_word(spark, sf):
-    kept, _ = fitted_vocabulary(spark, sf)
-    words = vocabulary.first_words(vocabulary.vocab_frame(stemmed(spark, sf)))
+    docs = stored_stems(spark, sf)
+    kept, _ = vocabulary_of(docs)
+    words = vocabulary.first_words(vocabulary.vocab_frame(docs))
     return vocabulary.stem_to_word(kept.select("term"), words)
 
 
@@ -335,12 +346,12 @@ def doc_frequency(spark, sf):
 
 @query
 def vocab_cap(spark, sf):
-    return fitted_vocabulary(spark, sf)[0]
+    return vocabulary_of(stored_stems(spark, sf))[0]
 
 
 @query
 def idf_smooth(spark, sf):
-    kept, n_docs = fitted_vocabulary(spark, sf)
+    kept, n_docs = vocabulary_of(stored_stems(spark, sf))
     return weighting.idf_table(kept, n_docs).withColumn("idf", tidy(F.col("idf")))
 
 
@@ -356,7 +367,7 @@ def tfidf_double(spark, sf):
 
 @query
 def tfidf_score_new(spark, sf):
-    kept, n_docs = fitted_vocabulary(spark, sf)
+    kept, n_docs = vocabulary_of(stored_stems(spark, sf))
     fresh = weighting.by_key(table(spark, sf, "benchmark"), "item_id")
     terms = vocabulary.with_terms(vocabulary.analyze(fresh, stemmer="s_strip"))
     scored = weighting.tfidf(terms, weighting.idf_table(kept, n_docs), key="item_id")
@@ -365,7 +376,7 @@ def tfidf_score_new(spark, sf):
 
 @query
 def feature_names(spark, sf):
-    return vocabulary.feature_names(fitted_vocabulary(spark, sf)[0])
+    return vocabulary.feature_names(vocabulary_of(stored_stems(spark, sf))[0])
 
 
 # ----------------------------------------------------------------- embeddings
@@ -373,7 +384,7 @@ def feature_names(spark, sf):
 
 @query
 def word2vec_vocab(spark, sf):
-    docs = materialize(stemmed(spark, sf, "porter2").select("doc_id", "stems"), "stems")
+    docs = stored_stems(spark, sf, "porter2").select("doc_id", "stems")
     vectors = features.fit_word2vec(docs).getVectors()
     v = vector_to_array("vector")
     return vectors.select("word", F.size(v).alias("dims"), tidy(norm(v)).alias("length"))
@@ -423,7 +434,7 @@ def assemble_vectors(spark, sf):
 
 
 def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    docs = materialize(stemmed(spark, sf), "stems")
+    docs = stored_stems(spark, sf)
     model = TfidfVectorizer().fit(docs)
     return materialize(model.transform(docs).select("doc_id", "features"), "vectors")
 
@@ -496,8 +507,8 @@ def top_terms(spark, sf):
 
 @query
 def cluster_names(spark, sf):
-    top = materialize(clustering.top_terms(lang_centers(spark, sf)), "top")
-    docs = stemmed(spark, sf)
+    docs = stored_stems(spark, sf)
+    top = materialize(clustering.top_terms(lang_centers(spark, sf, docs)), "top")
     stems = top.select(F.explode(X.term_stems("term")).alias("stem"))
     words = vocabulary.first_words_of(docs, stems)
     return clustering.cluster_names(
@@ -573,13 +584,11 @@ def landmark_mds(spark, sf):
 
 @query
 def svd_2d(spark, sf):
-    docs = materialize(stemmed(spark, sf), "stems")
+    docs = stored_stems(spark, sf)
     model = TfidfVectorizer().fit(docs)
     vectors = materialize(model.transform(docs).select("doc_id", "features"), "vectors")
     components = layout.truncated_svd(vectors)
-    return layout.svd_coordinates(
-        weighted(spark, sf), docs, model.stages[1].vocabulary, components
-    )
+    return layout.svd_coordinates(weights_of(docs), docs, model.stages[1].vocabulary, components)
 
 
 @query

@@ -6,13 +6,12 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicloom.functions.vectors import cosine, doubles, literal_vector, squared_distance
+from topicloom.operators.features import group_means
 
 
 def fit_kmeans(
@@ -86,13 +85,8 @@ def kmeans_from_centers(
     """
     current = [[float(v) for v in c] for c in centers]
     for _ in range(iterations):
-        means = (
-            assign(df, vector, current, "_cluster")
-            .groupBy("_cluster")
-            .agg(vector_to_array(Summarizer.mean(array_to_vector(doubles(vector)))).alias("mean"))
-            .collect()
-        )
-        for row in means:
+        means = group_means(assign(df, vector, current, "_cluster"), "_cluster", vector)
+        for row in means.collect():
             current[row["_cluster"]] = list(row["mean"])
     return current
 

@@ -16,7 +16,7 @@ from topicloom.functions.vectors import cosine, doubles, literal_vector
 from topicloom.session import materialize
 
 # Word2Vec keeps one vector per word on the driver and in every task.
-MAX_WORD_VECTORS = 1_000_000
+MAX_WORD_VECTORS = 500_000
 
 
 def word_floor(docs: DataFrame, tokens: str, min_count: int, max_words: int) -> int:
@@ -65,11 +65,16 @@ def fit_word2vec(
     ).fit(docs)
 
 
-def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """Mean vector per group in long form ``(group, dim, mean)``."""
-    means = df.groupBy(group).agg(
+def group_means(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """Mean vector per group, from per-task sums: ``(group, mean)``."""
+    return df.groupBy(group).agg(
         vector_to_array(Summarizer.mean(array_to_vector(doubles(vector)))).alias("mean")
     )
+
+
+def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """Mean vector per group in long form ``(group, dim, mean)``."""
+    means = group_means(df, group, vector)
     return means.select(group, F.posexplode_outer("mean").alias("dim", "mean"))
 
 
@@ -113,9 +118,10 @@ def string_index(df: DataFrame, column: str) -> DataFrame:
 def one_hot(df: DataFrame, column: str, names: Mapping[object, str]) -> DataFrame:
     """Add one 0/1 integer column per category, named by ``names[category]``."""
     flags = [
-        (F.col(column) == F.lit(value)).cast("int").alias(name) for value, name in names.items()
+        F.col(column).eqNullSafe(F.lit(value)).cast("int").alias(name)
+        for value, name in names.items()
     ]
-    return df.select("*", *[F.coalesce(flag, F.lit(0)).alias(n) for flag, n in zip(flags, names.values(), strict=True)])
+    return df.select("*", *flags)
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:

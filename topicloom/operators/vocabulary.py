@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from topicloom.functions import text as X
-from topicloom.session import materialize
+from topicloom.session import broadcast_if_small, materialize
 
 # A frequent-term table is sent to every executor only up to this many rows.
 MAX_BROADCAST_TERMS = 1_000_000
@@ -213,14 +213,7 @@ def feature_names(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def _maybe_broadcast(frequent: DataFrame) -> DataFrame:
-    small = frequent.count() <= MAX_BROADCAST_TERMS
-    return F.broadcast(frequent) if small else frequent
-
-
-def _frequent_ngrams(
-    docs: DataFrame, low: int, high: int, least: float
-) -> list[DataFrame]:
+def _frequent_ngrams(docs: DataFrame, low: int, high: int, least: float) -> list[DataFrame]:
     """Level-wise counting: a run of n stems can only be in ``least`` documents
     if both runs of n-1 stems inside it are. Runs that fail this are dropped
     before the shuffle, which is exact and keeps the many one-off n-grams of a
@@ -229,7 +222,7 @@ def _frequent_ngrams(
     for n in range(1, high + 1):
         tallies = _tallies(docs.select(X.ngrams("stems", n, n).alias("terms")), "terms")
         if n > 1:
-            known = _maybe_broadcast(levels[-1].select("term"))
+            known = broadcast_if_small(levels[-1].select("term"), MAX_BROADCAST_TERMS)
             for part in (n - 1, 1 - n):
                 tallies = tallies.withColumn("part", F.substring_index("term", " ", part))
                 tallies = tallies.join(

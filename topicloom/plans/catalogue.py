@@ -26,9 +26,9 @@ from topicloom.operators import (
     vocabulary,
     weighting,
 )
-from topicloom.plans.stages import TfidfVectorizer
+from topicloom.plans.stages import TfidfVectorizer, learned_idf
 from topicloom.plans.topic_model import TopicModel
-from topicloom.session import materialize, scratch_path, spread
+from topicloom.session import broadcast_if_small, materialize, scratch_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,19 +78,16 @@ def weighted(spark: SparkSession, sf: str, idf_power: int = 1) -> DataFrame:
 def given_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a cluster number for their language."""
     docs = table(spark, sf, "documents")
-    # One row per language.
-    numbers = docs.select("lang").distinct()
-    numbers = numbers.withColumn(
-        "cluster", (F.row_number().over(Window.orderBy("lang")) - 1).cast("int")
-    )
-    return docs.join(numbers, "lang")
+    # One row per language, so one task may number them.
+    number = (F.row_number().over(Window.orderBy("lang")) - 1).cast("int")
+    numbers = docs.select("lang").distinct().withColumn("cluster", number)
+    return docs.join(broadcast_if_small(numbers, settings.MAX_CLUSTERS), "lang")
 
 
 def given_centers(spark: SparkSession, sf: str) -> list[list[float]]:
     """Mean vector of each label, in label order: one row per cluster."""
-    means = features.mean_vectors(table(spark, sf, "embeddings"), "label", "embedding")
-    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("m"))
-    return [list(r["m"]) for r in rows.select("label", "m.mean").toDF("label", "m").orderBy("label").collect()]
+    means = features.group_means(table(spark, sf, "embeddings"), "label", "embedding")
+    return [list(r["mean"]) for r in means.orderBy("label").collect()]
 
 
 def lang_centers(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
@@ -588,7 +585,9 @@ def svd_2d(spark, sf):
     model = TfidfVectorizer().fit(docs)
     vectors = materialize(model.transform(docs).select("doc_id", "features"), "vectors")
     components = layout.truncated_svd(vectors)
-    return layout.svd_coordinates(weights_of(docs), docs, model.stages[1].vocabulary, components)
+    terms = vocabulary.with_terms(weighting.by_key(docs.select("doc_id", "stems")))
+    weights = weighting.tfidf(terms, learned_idf(spark, model))
+    return layout.svd_coordinates(weights, docs, model.stages[1].vocabulary, components)
 
 
 @query

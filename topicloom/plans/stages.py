@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.functions import text as X
 from topicloom.operators import clean, vocabulary, weighting
@@ -119,6 +119,15 @@ class NGramTerms(Transformer, _Stage):
         )
 
 
+def learned_idf(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """``(term, idf)`` of a fitted ``TfidfVectorizer``, for weights in long form."""
+    stages = {type(stage): stage for stage in model.stages}
+    terms = stages[CountVectorizerModel].vocabulary
+    scale = stages[ElementwiseProduct].getScalingVec().toArray()
+    rows = [(t, float(v)) for t, v in zip(terms, scale, strict=True)]
+    return spark.createDataFrame(rows, "term string, idf double")
+
+
 class TfidfVectorizer(Estimator, HasOutputCol, _Stage):
     """Learns the pruned, capped vocabulary of ``stems`` and its IDF.
 

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from topicloom.functions import text as X
 from topicloom.session import broadcast_if_small, materialize
 
-# A frequent-term table is sent to every executor only up to this many rows.
+# A table of terms is sent to every executor only up to this many rows.
 MAX_BROADCAST_TERMS = 1_000_000
 
 
@@ -39,7 +39,8 @@ def analyze(
 
     Order of steps: cast, fold accents (option), lower-case and tokenize, keep
     tokens with a letter, drop stop words, stem. With ``stop_stage="stem"`` the
-    stop words are compared with the stems instead of the raw tokens.
+    stop words are compared with the stems instead of the raw tokens. A tokenizer
+    of the caller's own must give tokens without spaces, which part n-grams.
     """
     if stop_stage not in ("raw", "stem"):
         raise ValueError("stop_stage is 'raw' or 'stem'")
@@ -63,8 +64,9 @@ def analyze(
 
 
 def with_terms(docs: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
-    """Add ``terms``: the n-grams of ``stems``."""
-    return docs.withColumn("terms", X.ngrams("stems", low, high))
+    """Add ``terms``: the n-grams of ``stems``. A missing text has none."""
+    terms = X.ngrams("stems", low, high)
+    return docs.withColumn("terms", F.coalesce(terms, F.array().cast("array<string>")))
 
 
 def explode_tokens(docs: DataFrame, key: str = "doc_id", tokens: str = "words") -> DataFrame:
@@ -246,6 +248,8 @@ def fit_vocabulary(
 
     At most ``max_features`` rows, so users of the result may broadcast it.
     """
+    if max_features > MAX_BROADCAST_TERMS:
+        raise ValueError(f"max_features is at most {MAX_BROADCAST_TERMS}")
     least = bound(min_df, n_docs)
     if least > 1 and high > 1:
         levels = _frequent_ngrams(docs, low, high, least)

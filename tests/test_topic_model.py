@@ -78,3 +78,19 @@ def test_scoring_is_narrow(spark, tmp_path):
 def test_missing_columns_are_reported(spark):
     with pytest.raises(ValueError, match="missing columns"):
         TopicModel(text="subjects").fit(corpus(spark))
+
+
+def test_word2vec_topics_are_named_by_near_words(spark, tmp_path):
+    texts = ["cats purr softly"] * 8 + ["ships sail far"] * 8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = {"vector_size": 8, "min_count": 1, "partitions": 1}
+    fitted = TopicModel(k=2, n_terms=2, vectors="word2vec", weights=weights).fit(df)
+    label = {r.doc_id: r.cluster for r in fitted.transform(df).collect()}
+    assert {label[i] for i in range(8)}.isdisjoint({label[i] for i in range(8, 16)})
+    words = {w for r in fitted.names.collect() for w in r.name.split(",")}
+    assert words <= set(" ".join(texts).split()) and len(words) > 1
+    fitted.save(str(tmp_path / "m"))
+    again = FittedTopics.load(spark, str(tmp_path / "m"))
+    assert {r.doc_id: r.cluster for r in again.transform(df).collect()} == label
+    with pytest.raises(ValueError, match="vectors is"):
+        TopicModel(vectors="other").fit(df)

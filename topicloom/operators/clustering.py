@@ -24,10 +24,12 @@ def fit_kmeans(
     max_iter: int = 20,
 ) -> KMeansModel:
     """Best of ``restarts`` fits by training cost."""
-    fits = (
-        KMeans(featuresCol=features, predictionCol=output, k=k, seed=seed + i, maxIter=max_iter).fit(df)
+    fits = [
+        KMeans(
+            featuresCol=features, predictionCol=output, k=k, seed=seed + i, maxIter=max_iter
+        ).fit(df)
         for i in range(restarts)
-    )
+    ]
     return min(fits, key=lambda model: model.summary.trainingCost)
 
 

@@ -100,7 +100,8 @@ def lang_centers(spark: SparkSession, sf: str, docs: DataFrame | None = None) ->
 def incomplete(spark: SparkSession, sf: str) -> DataFrame:
     """Documents left-joined to their labels, so values are really missing."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    x = F.when(F.col("quality") == 0, F.lit(float("nan"))).otherwise(F.col("n_chars").cast("double"))
+    n_chars = F.col("n_chars").cast("double")
+    x = F.when(F.col("quality") == 0, F.lit(float("nan"))).otherwise(n_chars)
     joined = docs.join(labels, "doc_id", "left")
     marks = [F.col(c).cast("double").alias(c) for c in ("quality", "toxic")]
     return joined.select("doc_id", *marks, x.alias("x"))
@@ -231,7 +232,8 @@ def drop_incomplete_rows(spark, sf):
 @query
 def attach_tokens(spark, sf):
     docs = table(spark, sf, "documents")
-    tokens = token_rows(texts(spark, sf), X.remove_stop_words(X.keep_alpha(X.letter_tokens("text"))))
+    kept = X.remove_stop_words(X.keep_alpha(X.letter_tokens("text")))
+    tokens = token_rows(texts(spark, sf), kept)
     return docs.select("doc_id", "source").join(tokens, "doc_id", "left")
 
 
@@ -239,7 +241,8 @@ def attach_tokens(spark, sf):
 def attach_cluster(spark, sf):
     cleaned = clean.drop_incomplete_rows(table(spark, sf, "documents"))
     rows = clustering.attach_cluster(cleaned, given_clusters(spark, sf))
-    return rows.select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"), "cluster")
+    n_chars = F.length("text").cast("bigint").alias("n_chars")
+    return rows.select("doc_id", "source", n_chars, "cluster")
 
 
 @query
@@ -527,12 +530,20 @@ def cluster_titles(spark, sf):
     return clustering.cluster_titles(docs)
 
 
+def named_documents(model: TopicModel, spark: SparkSession, sf: str) -> DataFrame:
+    fitted = model.fit(table(spark, sf, "documents").select("doc_id", "text"))
+    labels = fitted.labels.join(F.broadcast(fitted.names), "cluster", "left")
+    return labels.select("doc_id", "cluster", "name")
+
+
 @query
 def topic_model(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    model = TopicModel().fit(docs)
-    labels = model.labels.join(F.broadcast(model.names), "cluster", "left")
-    return labels.select("doc_id", "cluster", "name")
+    return named_documents(TopicModel(), spark, sf)
+
+
+@query
+def topic_model_word2vec(spark, sf):
+    return named_documents(TopicModel(vectors="word2vec", seed=42), spark, sf)
 
 
 # ------------------------------------------------------ similarity and layout

@@ -211,7 +211,8 @@ def oracle_sql() -> dict[str, str]:
         "project_columns": "SELECT doc_id, lang, source, n_chars FROM documents",
         "filter_report_dates": f"""SELECT o_orderkey, o_custkey FROM orders
             WHERE o_orderdate IN ({DATE_LIST})""",
-        "limit_ordered": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10",
+        "limit_ordered": """SELECT doc_id, n_chars FROM documents
+            ORDER BY n_chars DESC, doc_id LIMIT 10""",
         "schema_table": _schema_rows(),
         "row_count": "SELECT count(*) AS n FROM documents",
         "describe_columns": _describe_rows(),
@@ -241,7 +242,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "remove_stopwords": _tokens(_keep(LETTERS)),
         "fold_accents": r"""SELECT doc_id,
-            regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded FROM documents""",
+            regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded
+            FROM documents""",
         "stem_vocabulary": f"""SELECT token, {_s_strip("token")} AS stem, count(*) AS n
             FROM (SELECT unnest({_keep(LETTERS)}) AS token FROM documents) GROUP BY token""",
         "explode_tokens": f"""SELECT doc_id, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos,
@@ -340,7 +342,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE doc_id = rep AND members > 1""",
         "vector_groups": f"{WEIGHTED}, {PAIRS} SELECT doc_id, rep FROM groups",
         "similar_items": f"""{WEIGHTED}, near AS (
-                SELECT a.doc_id, b.doc_id AS item, round(1 - sum(a.weight * b.weight), 9) AS distance
+                SELECT a.doc_id, b.doc_id AS item,
+                    round(1 - sum(a.weight * b.weight), 9) AS distance
                 FROM weights a JOIN weights b ON a.term = b.term AND a.doc_id <> b.doc_id
                 GROUP BY a.doc_id, b.doc_id
                 HAVING sum(a.weight * b.weight) >= {PAIR_THRESHOLD} - 1e-9)

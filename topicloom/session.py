@@ -21,7 +21,9 @@ _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 _written: dict[str, list[str]] = {}
 
 
-def build_session(master: str = "local[*]", app_name: str = "topicloom", **conf: str) -> SparkSession:
+def build_session(
+    master: str = "local[*]", app_name: str = "topicloom", **conf: str
+) -> SparkSession:
     """A session with the settings the operators are designed around."""
     builder = (
         SparkSession.builder.master(master)

@@ -3,21 +3,22 @@
 Intermediate tables that are read more than once are written, as Parquet, to
 the folder named by ``spark.checkpoint.dir``. Unlike a cached or locally
 checkpointed frame, such a table survives the loss of any executor, cuts the
-lineage, and tells the optimizer its real size.
+lineage, and tells the optimizer its real size. A session that names no such
+folder uses one below its warehouse, which is shared as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+WAREHOUSE_KEY = "spark.sql.warehouse.dir"
 
-# Folders for applications that name none; only ever used on a local master.
-_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
+# Scratch tables of each application, in the order of writing.
 _written: dict[str, list[str]] = {}
 
 
@@ -43,14 +44,7 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.TemporaryDirectory(prefix="topicloom-")
-    return _local_dirs[app].name
+    return (named or f"{spark.conf.get(WAREHOUSE_KEY)}/scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -74,13 +68,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables this application wrote."""
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the scratch tables this application has written and not released."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete scratch tables this application wrote: all of them, or those given."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    own = _written.get(spark.sparkContext.applicationId, [])
+    for path in list(own if paths is None else paths):
+        if path in own:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            own.remove(path)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

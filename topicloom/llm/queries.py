@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicloom.llm import packing, rans, token_counts
+from topicloom.llm import decontaminate, katz, packing, quality, rans, token_counts
 from topicloom.session import scratch_path
 
 
@@ -34,9 +35,36 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, vocabulary("word_bpe_49k.json"))
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return katz.katz_scores(table(spark, sf_dir, "documents"), train)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.overlaps(docs, items)
+    hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select(
+        "row.doc_id",
+        "found.n_words",
+        hit.alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+        "found.spans",
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op4_katz_scores": op4_katz_scores,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality_rules": op6_quality_rules,
 }
 ORACLES: dict[str, str] = {}

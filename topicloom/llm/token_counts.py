@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import ddl, text_of
 from topicloom.llm.tokens import LONGEST, chunks_of, keeps_spaces, load
+from topicloom.session import materialize
 
 # Entries of the broadcast table; chunks are LONGEST characters at most, so the
 # table stays below about 20 MB.
@@ -33,8 +34,9 @@ CACHE = 400_000
 
 
 def frequent_chunks(docs: DataFrame, tokenizer: str, table_size: int, text: str) -> DataFrame:
-    """``chunk, n``: the most frequent chunks of all texts, by the sum of the
-    counts that tasks report for their own most frequent ones."""
+    """``chunk, n``: at most ``table_size`` of the most frequent chunks of all texts,
+    by the sum of the counts that tasks report for their own most frequent ones.
+    The least count is found from a histogram of the counts."""
     listed = 2 * table_size
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,13 +54,23 @@ def frequent_chunks(docs: DataFrame, tokenizer: str, table_size: int, text: str)
             names=["chunk", "n"],
         )
 
-    counted = docs.select(text_of(text).alias("text")).mapInArrow(count, "chunk string, n long")
-    return (
-        counted.groupBy("chunk")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "chunk")
-        .limit(table_size)
+    counted = materialize(
+        docs.select(text_of(text).alias("text"))
+        .mapInArrow(count, "chunk string, n long")
+        .groupBy("chunk")
+        .agg(F.sum("n").alias("n")),
+        "chunks",
     )
+    # Steps of a sixteenth of a power of two: 1,024 rows at most.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect()
+    least, rows = 1 << 30, 0
+    for s in steps:
+        rows += s["rows"]
+        if rows > table_size:
+            break
+        least = s["step"]
+    return counted.where(step >= least)
 
 
 class _Lengths(dict):

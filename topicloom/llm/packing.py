@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from topicloom.llm.common import ddl, text_of
-from topicloom.llm.tokens import ChunkEncoder
+from topicloom.llm.tokens import IdEncoder
 from topicloom.session import materialize
 
 MAX_LEN = 1024
@@ -48,13 +48,13 @@ def pieces(
     (little-endian unsigned 32-bit)."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = IdEncoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         step = 4 * max_len
         for batch in batches:
             rows, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                data = encoder.encode(value) + end
+            for i, encoded in enumerate(encoder.encode_all(batch.column(1))):
+                data = encoded + end
                 for at in range(0, len(data), step):
                     piece = data[at : at + step]
                     rows.append(i)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicloom.llm.common import ddl, text_of
-from topicloom.llm.tokens import ChunkEncoder
+from topicloom.llm.tokens import IdEncoder, load
 from topicloom.session import materialize
 
 PRECISION = 20
@@ -217,12 +217,11 @@ def encode_documents(
     vocabulary allows, else uint32 (``width`` says which)."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, 4)
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        encoder = ChunkEncoder(tokenizer, width)
+        width = 2 if load(tokenizer).get_vocab_size() <= 1 << 16 else 4
+        encoder = IdEncoder(tokenizer, width)
         end = end_id.to_bytes(width, "little")
         for batch in batches:
-            ids = [encoder.encode(t) + end for t in batch.column(1).to_pylist()]
+            ids = [e + end for e in encoder.encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
                 names=[key, "width", "ids"],

@@ -1,11 +1,11 @@
 """Token counts of whole texts by a two-tier lookup in the map tasks.
 
-Texts are cut into chunks that the vocabulary never joins. The lengths of the
-most frequent chunks are broadcast as one table of ``table_size`` entries at
-most; any other chunk goes to a cache of the worker, and to the tokenizers
-library if it is not there. No chunk is shuffled: the frequent ones are found
-from short lists, one per task, of its own most frequent chunks. The tables only
-save time; every count is the library's.
+Texts are cut into words that the vocabulary never joins. The token counts of the
+most frequent words are broadcast as one table of ``table_size`` entries at most;
+any other word goes to a cache of the worker, and to the tokenizers library if it
+is not there. The words of the texts are not shuffled: the frequent ones are found
+from lists, one per task and of bounded length, of its own most frequent words.
+The tables only save time; every count is the library's.
 
 Null texts count as empty: 0 bytes, 0 tokens. Rows that repeat a key each get
 their count.
@@ -16,25 +16,25 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import ddl, text_of
-from topicloom.llm.tokens import LONGEST, chunks_of, keeps_spaces, load
+from topicloom.llm.tokens import LONGEST, Cut, IdCounter, keeps_spaces, load, portions
 from topicloom.session import materialize
 
-# Entries of the broadcast table; chunks are LONGEST characters at most, so the
+# Entries of the broadcast table; words are LONGEST characters at most, so the
 # table stays below about 20 MB.
 TABLE_SIZE = 65_536
-# Chunks a task counts at a time; beyond that, those met least are forgotten.
+# Words a task counts at a time; beyond that, those met least are forgotten.
 COUNTED = 300_000
-# Chunks a worker's cache holds.
-CACHE = 400_000
 
 
-def frequent_chunks(docs: DataFrame, tokenizer: str, table_size: int, text: str) -> DataFrame:
-    """``chunk, n``: at most ``table_size`` of the most frequent chunks of all texts,
+def frequent_words(docs: DataFrame, tokenizer: str, table_size: int, text: str) -> DataFrame:
+    """``word, n``: at most ``table_size`` of the most frequent words of all texts,
     by the sum of the counts that tasks report for their own most frequent ones.
     The least count is found from a histogram of the counts."""
     listed = 2 * table_size
@@ -43,23 +43,24 @@ def frequent_chunks(docs: DataFrame, tokenizer: str, table_size: int, text: str)
         keep = keeps_spaces(load(tokenizer))
         counts: Counter[str] = Counter()
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                for chunks in chunks_of(value, keep):
-                    counts.update(chunks)
+            for part in portions(batch.column(0)):
+                cut = Cut(part, keep)
+                times = np.bincount(cut.index, minlength=len(cut.words)).tolist()
+                counts.update(dict(zip(cut.words.to_pylist(), times, strict=True)))
                 if len(counts) > COUNTED:
                     counts = Counter(dict(counts.most_common(COUNTED // 2)))
-        top = [(c, n) for c, n in counts.most_common(listed) if n > 1 and len(c) <= LONGEST and "\0" not in c]
+        top = [(w, n) for w, n in counts.most_common(listed) if n > 1 and len(w) <= LONGEST]
         yield pa.RecordBatch.from_arrays(
             [pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
-            names=["chunk", "n"],
+            names=["word", "n"],
         )
 
     counted = materialize(
         docs.select(text_of(text).alias("text"))
-        .mapInArrow(count, "chunk string, n long")
-        .groupBy("chunk")
+        .mapInArrow(count, "word string, n long")
+        .groupBy("word")
         .agg(F.sum("n").alias("n")),
-        "chunks",
+        "frequent-words",
     )
     # Steps of a sixteenth of a power of two: 1,024 rows at most.
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -73,32 +74,6 @@ def frequent_chunks(docs: DataFrame, tokenizer: str, table_size: int, text: str)
     return counted.where(step >= least)
 
 
-class _Lengths(dict):
-    """Chunk to number of tokens: the broadcast table first, then the cache."""
-
-    def __init__(self, table: dict[str, int], tokenizer):
-        super().__init__(table)
-        self.tokenizer, self.cache = tokenizer, {}
-
-    def learn(self, chunks: list[str]) -> dict[str, int]:
-        """Counts of the chunks that the table lacks."""
-        cache = self.cache
-        missing = [c for c in set(chunks) if c not in self]
-        new = [c for c in missing if c not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = missing
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {c: len(e) for c, e in zip(new, found, strict=True)}
-        cache.update((c, n) for c, n in fresh.items() if len(c) <= LONGEST)
-        return {c: fresh[c] if c in fresh else cache[c] for c in missing}
-
-    def total(self, chunks: list[str]) -> int:
-        missed = self.learn(chunks)
-        get = self.get
-        return sum(get(c) or missed.get(c, 0) for c in chunks)
-
-
 def token_counts(
     docs: DataFrame,
     tokenizer: str,
@@ -109,27 +84,21 @@ def token_counts(
 ) -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` for every row."""
     spark = docs.sparkSession
-    top = [r["chunk"] for r in frequent_chunks(docs, tokenizer, table_size, text).collect()]
-    lengths = [len(e) for e in load(tokenizer).encode_batch_fast(top, add_special_tokens=False)]
-    table = spark.sparkContext.broadcast(("\0".join(top) if top else None, bytes(min(n, 255) for n in lengths)))
+    top = [r["word"] for r in frequent_words(docs, tokenizer, table_size, text).collect()]
+    shared = spark.sparkContext.broadcast(
+        dict(zip(top, IdCounter(tokenizer).of_words(top), strict=True))
+    )
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = load(tokenizer)
-        keep = keeps_spaces(library)
-        blob, sizes = table.value
-        known = {} if blob is None else dict(zip(blob.split("\0"), sizes, strict=True))
-        table_of = _Lengths({c: n for c, n in known.items() if n < 255}, library)
+        counter = IdCounter(tokenizer, shared.value)
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for value in batch.column(1).to_pylist():
-                n_bytes.append(len(value.encode()))
-                n_tokens.append(sum(map(table_of.total, chunks_of(value, keep))))
+            n_tokens = counter.count_all(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(n_bytes, pa.int64()),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array([n > limit for n in n_tokens], pa.bool_()),
+                    pc.binary_length(batch.column(1)).cast(pa.int64()),
+                    pa.array(n_tokens),
+                    pa.array(n_tokens > limit),
                 ],
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
             )

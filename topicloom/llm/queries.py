@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontaminate, katz, packing, quality, rans, token_counts
+from topicloom.llm import decontaminate, jaccard, katz, packing, quality, rans, token_counts
 from topicloom.session import scratch_path
 
 
@@ -59,6 +59,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
@@ -66,5 +70,6 @@ QUERIES = {
     "op4_katz_scores": op4_katz_scores,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 ORACLES: dict[str, str] = {}

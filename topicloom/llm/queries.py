@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontaminate, jaccard, katz, packing, quality, rans, token_counts
+from topicloom.llm import decontaminate, jaccard, katz, line_dedup, packing, quality, rans, token_counts
 from topicloom.session import scratch_path
 
 
@@ -63,6 +63,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "row.doc_id",
+        F.col("cleaned.n_lines").alias("n_removed_lines"),
+        F.col("cleaned.n_words").alias("n_removed_words"),
+        F.col("cleaned.text").alias("text"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
@@ -71,5 +81,6 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}

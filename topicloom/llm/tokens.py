@@ -36,7 +36,7 @@ _SPACED = (
 )
 
 # Bytes of text that are cut at a time, and the longest part that is remembered.
-PORTION = 16 << 20
+PORTION = 4 << 20
 LONGEST = 64
 
 
@@ -89,13 +89,43 @@ class Cut:
         self.heads = flat.take(pa.array(self.bounds[:-1])).to_pylist() if keep_spaces else None
 
 
+class Memory:
+    """Values of strings met lately. Two generations of ``capacity`` entries at
+    most: when the young one is full it becomes the old one, and what is still
+    in use comes back from there."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def look_up(self, keys: list[str]) -> tuple[list[Any], list[int]]:
+        """Values with None where one is missing, and the places of those."""
+        values = list(map(self.young.get, keys))
+        if None not in values:
+            return values, []
+        missing = []
+        old = self.old.get
+        for i in [i for i, v in enumerate(values) if v is None]:
+            value = old(keys[i])
+            if value is None:
+                missing.append(i)
+            else:
+                values[i] = self.young[keys[i]] = value
+        return values, missing
+
+    def put(self, keys: Iterable[str], values: Iterable[Any]) -> None:
+        self.young.update((k, v) for k, v in zip(keys, values, strict=True) if len(k) <= LONGEST)
+        if len(self.young) > self.capacity:
+            self.old, self.young = self.young, {}
+
+
 class ChunkEncoder:
     """Values of words, from those of their chunks.
 
     ``value`` makes the value of a chunk from its ids, ``join`` that of a word from
     those of its chunks. ``fixed`` holds known values of words, which are never
-    forgotten. ``capacity`` bounds what is remembered beside them, at each level;
-    a level that is full is emptied, which costs time but changes no result.
+    forgotten. ``capacity`` bounds what is remembered beside them.
     """
 
     def __init__(
@@ -104,16 +134,15 @@ class ChunkEncoder:
         value: Callable[[list[int]], Any],
         join: Callable[[Iterable[Any]], Any],
         fixed: dict[str, Any] | None = None,
-        capacity: int = 400_000,
+        capacity: int = 250_000,
     ):
         self.tokenizer = load(path)
         self.keep_spaces = keeps_spaces(self.tokenizer)
-        self.value, self.join, self.capacity = value, join, capacity
+        self.value, self.join = value, join
         self.pattern = WITH_SPACES if self.keep_spaces else WITHOUT_SPACES
         self.prefix = " " if self.keep_spaces else ""
-        self.fixed = fixed or {}
-        self.words: dict[str, Any] = dict(self.fixed)
-        self.chunks: dict[str, Any] = {}
+        self.fixed = fixed
+        self.words, self.chunks = Memory(capacity), Memory(capacity)
 
     def whole(self, texts: list[str]) -> list[Any]:
         """By the library alone."""
@@ -122,31 +151,33 @@ class ChunkEncoder:
 
     def plain(self, texts: list[str]) -> list[Any]:
         """By the chunks of the texts."""
-        if len(self.chunks) > self.capacity:
-            self.chunks.clear()
-        known = self.chunks
         parts = list(map(self.pattern.findall, texts))
-        missing = list(set().union(*parts).difference(known))
-        fresh = dict(zip(missing, self.whole(missing), strict=True))
-        known.update(fresh)
-        get = known.__getitem__
-        out = [get(p[0]) if len(p) == 1 else self.join(map(get, p)) for p in parts]
-        for chunk in missing:
-            if len(chunk) > LONGEST:
-                del known[chunk]
-        return out
+        chunks = list(set().union(*parts))
+        values, missing = self.chunks.look_up(chunks)
+        new = [chunks[i] for i in missing]
+        fresh = self.whole(new)
+        for i, v in zip(missing, fresh, strict=True):
+            values[i] = v
+        self.chunks.put(new, fresh)
+        get = dict(zip(chunks, values, strict=True)).__getitem__
+        return [get(p[0]) if len(p) == 1 else self.join(map(get, p)) for p in parts]
 
     def of_words(self, words: list[str]) -> list[Any]:
         """Values of words that stand after a space."""
-        values = list(map(self.words.get, words))
-        holes = [i for i, v in enumerate(values) if v is None]
-        new = [words[i] for i in holes]
+        if not self.fixed:
+            values, missing = self.words.look_up(words)
+        else:
+            values = list(map(self.fixed.get, words))
+            rare = [i for i, v in enumerate(values) if v is None]
+            found, holes = self.words.look_up([words[i] for i in rare])
+            for i, v in zip(rare, found, strict=True):
+                values[i] = v
+            missing = [rare[j] for j in holes]
+        new = [words[i] for i in missing]
         fresh = self.plain([self.prefix + w for w in new])
-        for i, v in zip(holes, fresh, strict=True):
+        for i, v in zip(missing, fresh, strict=True):
             values[i] = v
-        if len(self.words) + len(new) > self.capacity + len(self.fixed):
-            self.words = dict(self.fixed)
-        self.words.update((w, v) for w, v in zip(new, fresh, strict=True) if len(w) <= LONGEST)
+        self.words.put(new, fresh)
         return values
 
     def cut(self, texts: pa.Array) -> tuple[Cut, list[Any]]:

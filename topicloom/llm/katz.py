@@ -39,7 +39,7 @@ from topicloom.session import materialize
 
 CUTOFF = 5
 HOT_SHARE = 1000
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 1_000_000
 BATCH_DOCS = 60_000
 
 # A space is in no word, so these are no words' hashes by construction.
@@ -402,11 +402,11 @@ def katz_scores(
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of
     every row; rows for which ``train`` holds are learned from.
 
-    ``buckets`` splits the n-gram tables (half the shuffle partitions by default);
-    one task holds one bucket.
+    ``buckets`` splits the n-gram tables (the shuffle partitions by default); one
+    task holds one bucket.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), text_of(text).alias("text"))
     words = materialize(count_words(rows), "words")
     tables, unigrams = ngram_tables(rows, words, buckets)

@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,10 @@ from topicloom.llm.tokens import IdEncoder, load
 from topicloom.session import materialize
 
 PRECISION = 20
-LANES = 256
+LANES = 512
 CHECKPOINT = 128
 # A block is closed when it has so many tokens.
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 18
 
 HEADER = struct.Struct("<4sHHIIIIII")  # magic, lanes, precision, tokens, docs, segments, words, two sums
 MAGIC = b"TLR1"
@@ -238,7 +239,8 @@ def token_frequencies(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for width, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for width in pc.unique(batch.column(0)).to_pylist():
+                ids = b"".join(batch.column(1).filter(pc.equal(batch.column(0), width)).to_pylist())
                 found = np.bincount(np.frombuffer(ids, f"<u{width}"))
                 if len(found) > len(totals):
                     totals = np.pad(totals, (0, len(found) - len(totals)))

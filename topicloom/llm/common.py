@@ -42,7 +42,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered for words met before. Emptied when full,
     so a worker's memory is bounded."""
 
-    def __init__(self, capacity: int = 400_000):
+    def __init__(self, capacity: int = 200_000):
         super().__init__()
         self.capacity = capacity
 

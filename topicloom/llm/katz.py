@@ -419,7 +419,8 @@ def katz_scores(
     backed_off = unseen.join(weights, "id").select(
         F.col("doc").alias("id"), (F.col("n") * F.col("weight")).alias("y")
     )
-    by_count = [F.coalesce(F.col(c), F.lit(0)) * float(np.log10(rates[i])) for i, c in enumerate(_COUNTS, 1)]
+    logs = np.log10(np.maximum(rates, np.finfo(float).tiny))
+    by_count = [F.coalesce(F.col(c), F.lit(0)) * float(logs[i]) for i, c in enumerate(_COUNTS, 1)]
     named = F.col("kind") == _KEY
     own = tables.where(F.col("kind").isin(_DOC, _KEY)).select(
         "id",

@@ -190,7 +190,10 @@ def pack(table: DataFrame, max_len: int = MAX_LEN, key: str = "doc_id") -> DataF
         .withColumn("offset", F.col("first_offset") + (at % F.col("times")) * F.col("length"))
         .withColumn("sequence_tokens", F.col("used"))
         .withColumn("padded_to", F.when(power, F.col("used")).otherwise(F.lit(max_len).cast("long")))
-        .drop("rank", *_SLOT.names)
+        .select(
+            *(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_to"),
+            *(["ids"] if "ids" in table.columns else []),
+        )
     )
 
 

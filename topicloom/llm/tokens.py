@@ -134,7 +134,7 @@ class ChunkEncoder:
         value: Callable[[list[int]], Any],
         join: Callable[[Iterable[Any]], Any],
         fixed: dict[str, Any] | None = None,
-        capacity: int = 250_000,
+        capacity: int = 100_000,
     ):
         self.tokenizer = load(path)
         self.keep_spaces = keeps_spaces(self.tokenizer)

@@ -36,7 +36,7 @@ _SPACED = (
 )
 
 # Bytes of text that are cut at a time, and the longest part that is remembered.
-PORTION = 4 << 20
+PORTION = 1 << 19
 LONGEST = 64
 
 

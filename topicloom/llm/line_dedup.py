@@ -1,31 +1,33 @@
 """Line dedup by winnowing: later repeats of runs of lines are deleted.
 
 Lines are what stands between line breaks, cut once more after the end of a
-sentence, so that a passage inside a paragraph is a run of lines too. Lines are
-compared by a 64-bit hash of their words. The gram of a line is the shortest run
-of lines from it on with ``gram_words`` words or more. For every line, the
-window is the shortest run from it on with ``min_words`` words or more; of the
-grams within it, the one with the least hash is selected as a fingerprint. What is
-selected in a window depends on its own lines alone, so two places that share a
-run of ``min_words`` words share a fingerprint in it: the guarantee of winnowing.
+sentence, so that a passage inside a paragraph is a run of lines too. The gram of
+a line is the shortest run of lines from it on with ``gram_words`` words or more.
+For every line, the window is the shortest run from it on with ``min_words`` words
+or more; of the grams within it, one with the least hash is selected as a
+fingerprint (the one selected last, as long as no lesser hash comes in, so that
+a text that repeats itself has few). The least hash in a window depends on its own
+lines alone, so two places that share a run of ``min_words`` words share a
+fingerprint's hash in it: the guarantee of winnowing.
 
 Fingerprints are joined by their hash with the first place of all that have it,
 in the order of key and line; so a fingerprint that a third of all documents have
 gives one row for each, not pairs. From there the match with that first place is
-extended line by line both ways, and a matched run of ``min_words`` words or more
-is deleted. First places are never deleted on their own account. What a match
-needs of the earlier document is cut to the later one's length before it is
-shuffled.
-
-Null and empty texts have no lines and stay as they are. Rows that repeat a key
-are one after the other in the order of their texts' hashes; rows equal in key
-and text are one document, and stay or change together. Rows without a key are
-left alone.
+extended line by line both ways, by ``min_words`` words at most: if it went
+further, the next window has a fingerprint of its own. Matches with the same
+document at the same distance that meet are one run, and a run of ``min_words``
+words or more is deleted. First places are never deleted on their own account.
+
+Lines are compared by 64-bit hashes, without the white space around them. Null and
+empty texts have no lines and stay as they are. Rows that repeat a key are one
+after the other in the order of their texts' hashes; rows equal in key and text
+are one document, and stay or change together. Rows without a key are left alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,73 +36,91 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import byte_column, ddl, text_of
+from topicloom.llm.common import byte_column, mix, text_of
 from topicloom.session import materialize
 
 MIN_WORDS = 40
 GRAM_WORDS = 20
 
-# A line ends at a line break, or after a sentence's end mark and white space.
-_END = re.compile(rb"[.!?][\"')\]]*[ \t]+|\n")
+# A line ends at a line break, or with the white space after a sentence's end.
+_GAP = re.compile(rb"""(?:(?<=[.!?])|(?<=[.!?]["')\]]))[ \t]+|\n""")
+# An odd number and its inverse modulo 2**64, for hashes of runs of lines.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def lines_of(text: bytes) -> list[bytes]:
     """All lines with what ends them; joined they are the text."""
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
+    ends = [m.end() for m in _GAP.finditer(text)] + [len(text)]
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def hashed_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, number of words and number of the line, for lines with words."""
+def hashed_lines(text: bytes) -> tuple[list[int], list[int], list[int]]:
+    """Hash, number of words and number of each line with words."""
     hashes, words, numbers = [], [], []
-    for i, line in enumerate(lines_of(text)):
-        parts = line.split()
-        if parts:
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(parts)))
-            words.append(len(parts))
+    for i, line in enumerate(_GAP.split(text)):
+        if n := len(line.split()):
+            hashes.append(xxhash.xxh3_64_intdigest(line.strip()))
+            words.append(n)
             numbers.append(i)
-    return np.array(hashes, np.uint64), np.array(words, np.int64), np.array(numbers, np.int64)
+    return hashes, words, numbers
+
+
+def gram_hashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the lines from each one on to its end (exclusive)."""
+    n = len(hashes)
+    rising = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+    falling = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * rising)])
+    return mix((sums[ends] - sums[:-1]) * falling) + (ends - np.arange(n)).astype(np.uint64)
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int, min_words: int) -> list[tuple[int, int]]:
-    """``(hash, line)`` of the selected grams."""
+def fingerprints(
+    hashes: np.ndarray, words: np.ndarray, gram_words: int, min_words: int
+) -> list[tuple[int, int, int, int]]:
+    """``(hash, line, back, ahead)`` of the selected grams: an extension may go
+    that many lines back from the line, and end that many after it."""
     n = len(hashes)
     before = np.concatenate([[0], np.cumsum(words)])
     # The line after the last of each gram and window; beyond n if there is none.
     gram_end = np.searchsorted(before, before[:-1] + gram_words)
     window_end = np.searchsorted(before, before[:-1] + min_words)
-    grams = [xxhash.xxh3_64_intdigest(hashes[i:e].tobytes()) if e <= n else None for i, e in enumerate(gram_end.tolist())]
-    chosen = set()
-    for start, stop in enumerate(window_end.tolist()):
-        if stop > n:
-            break
-        best = None
-        for i in range(start, stop):
-            if gram_end[i] > stop:
-                break
-            if best is None or grams[i] <= grams[best]:
-                best = i
-        chosen.add(best)
-    return [(grams[i], i) for i in sorted(chosen)]
-
-
-def _spans(
-    mine: list[int], theirs: list[int | None], words: list[int], min_words: int
-) -> list[tuple[int, int]]:
-    """Runs of equal lines with enough words; ``theirs`` is aligned, None where
-    the earlier document has no line."""
-    out, start = [], None
-    for i in range(len(mine) + 1):
-        same = i < len(mine) and theirs[i] is not None and mine[i] == theirs[i]
-        if same and start is None:
-            start = i
-        elif not same and start is not None:
-            if sum(words[start:i]) >= min_words:
-                out.append((start, i))
-            start = None
-    return out
+    windows = int(np.count_nonzero(window_end <= n))
+    if not windows:
+        return []
+    grams = gram_hashes(hashes, np.minimum(gram_end, n)).tolist()
+    last = (np.searchsorted(gram_end, window_end[:windows], "right") - 1).tolist()
+    chosen, best, tried = [], -1, -1
+    for start, stop in enumerate(last):
+        if best < start:
+            best, tried = start, start
+            for i in range(start + 1, stop + 1):
+                if grams[i] <= grams[best]:
+                    best = i
+        else:
+            for i in range(tried + 1, stop + 1):
+                if grams[i] < grams[best]:
+                    best = i
+        tried = max(tried, stop)
+        if not chosen or chosen[-1] != best:
+            chosen.append(best)
+    at = np.array(sorted(set(chosen)))
+    back = at - (np.searchsorted(before, np.maximum(0, before[at] - min_words), "right") - 1)
+    ahead = np.minimum(n, np.searchsorted(before, before[gram_end[at]] + min_words)) - at
+    return list(zip([grams[i] for i in at.tolist()], at.tolist(), back.tolist(), ahead.tolist(), strict=True))
+
+
+def equal_run(mine: list[int], theirs: list[int], at: int, low: int, place: int) -> tuple[int, int]:
+    """The lines around ``place`` that are equal; ``theirs`` begins at line ``low``
+    of the earlier document, whose line ``at`` is the place's match."""
+    shift = place - at
+    first = last = place
+    while first > 0 and first - 1 - shift >= low and mine[first - 1] == theirs[first - 1 - shift - low]:
+        first -= 1
+    end = low + len(theirs)
+    while last < len(mine) and last - shift < end and mine[last] == theirs[last - shift - low]:
+        last += 1
+    return first, last
 
 
 def _row_id(key: str) -> Column:
@@ -116,23 +136,25 @@ def repeated_runs(
     text: str = "text",
 ) -> DataFrame:
     """``id (key, hash), spans``: for each document with repeats, the deleted runs
-    of lines (numbered among all its lines, stop exclusive), and ``n_words`` in
-    them."""
+    of lines, numbered among all its lines, stop exclusive."""
+    fields = ("grams", "places", "backs", "aheads")
 
     def fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[] for _ in range(7)]
             for value in byte_column(batch, "text"):
                 hashes, words, numbers = hashed_lines(value)
-                found = fingerprints(hashes, words, gram_words, min_words)
-                row = (hashes.view(np.int64), words, numbers, [i for _, i in found])
-                for column, values in zip(columns, row, strict=False):
+                lines = np.array(hashes, np.uint64)
+                found = fingerprints(lines, np.array(words, np.int64), gram_words, min_words)
+                grams, *places = zip(*found, strict=True) if found else [()] * 4
+                # The numbers are left out where every line has words.
+                row = (lines.view(np.int64), words, numbers if numbers and numbers[-1] >= len(numbers) else None)
+                for column, values in zip(columns, (*row, np.array(grams, np.uint64).view(np.int64), *places), strict=True):
                     column.append(values)
-                columns[4].append(np.array([g for g, _ in found], np.uint64).view(np.int64))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True))],
-                names=["id", "lines", "words", "numbers", "places", "grams"],
+                names=["id", "lines", "words", "numbers", *fields],
             )
 
     kind = docs.schema[key].dataType.simpleString()
@@ -143,61 +165,73 @@ def repeated_runs(
         .mapInArrow(
             fingerprint,
             f"id {id_kind}, lines array<bigint>, words array<int>, numbers array<int>, "
-            "places array<int>, grams array<bigint>",
+            "grams array<bigint>, places array<int>, backs array<int>, aheads array<int>",
         )
         .where(F.size("grams") > 0),
         "lines",
     )
-    fields = ("id", "lines", "words", "numbers")
-    prints = lined.select(
-        "id", F.size("lines").alias("n_lines"), F.explode(F.arrays_zip("grams", "places")).alias("p")
-    ).select(F.col("p.grams").alias("gram"), F.struct("id", F.col("p.places").alias("place")).alias("at"), "n_lines")
-    # Rows equal in key and text count once from here on.
-    lined = lined.select(*fields).dropDuplicates(["id"])
+    prints = lined.select("id", F.explode(F.arrays_zip(*fields)).alias("p")).select(
+        F.col("p.grams").alias("gram"),
+        F.struct(
+            F.col("id"), F.col("p.places").alias("place"), F.col("p.backs").alias("back"), F.col("p.aheads").alias("ahead")
+        ).alias("at"),
+    )
     first = prints.groupBy("gram").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # One row for each document, earlier document and shift between their lines.
     matches = (
-        prints.join(first.select("gram", "first"), "gram")
-        .where(F.col("at") != F.col("first"))
-        .groupBy(
-            F.col("at.id").alias("id"),
+        prints.select("gram", "at.id", "at.place")
+        .join(first.select("gram", "first"), "gram")
+        .where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
+        .select(
+            "id",
+            "place",
             F.col("first.id").alias("earlier"),
-            (F.col("first.place") - F.col("at.place")).alias("shift"),
+            F.col("first.place").alias("at"),
+            (F.col("first.place") - F.col("first.back")).alias("low"),
+            (F.col("first.back") + F.col("first.ahead")).alias("size"),
         )
-        .agg(F.max("n_lines").alias("n_lines"))
     )
-    low = F.greatest(F.col("shift"), F.lit(0))
-    high = F.least(F.col("shift") + F.col("n_lines"), F.size("lines"))
-    # Only lines that can meet one of the later document's.
-    parts = matches.join(lined.select(F.col("id").alias("earlier"), "lines"), "earlier").select(
-        "id", "shift", low.alias("low"), F.slice("lines", low + 1, high - low).alias("theirs")
+    # Rows equal in key and text count once from here on.
+    once = lined.select("id", "lines", "words", "numbers").dropDuplicates(["id"])
+    theirs = once.select(F.col("id").alias("earlier"), "lines")
+    # Of the earlier document only the lines that can be met are passed on. A
+    # document has fewer matches than lines.
+    met = (
+        matches.join(theirs, "earlier")
+        .select("id", F.struct("place", "earlier", "at", "low", F.slice("lines", F.col("low") + 1, F.col("size")).alias("lines")).alias("m"))
+        .groupBy("id")
+        .agg(F.collect_list("m").alias("matches"))
     )
-    compared = parts.join(lined, "id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("shift", "low", "theirs", "lines", "words", "numbers")
         for batch in batches:
-            rows, starts, stops, totals = [], [], [], []
-            values = (batch.column(c).to_pylist() for c in names)
-            for r, (shift, low, theirs, lines, words, numbers) in enumerate(zip(*values, strict=True)):
-                at = low - shift
-                aligned = [None] * at + theirs + [None] * (len(lines) - at - len(theirs))
-                for a, b in _spans(lines, aligned, words, min_words):
-                    rows.append(r)
-                    starts.append(numbers[a])
-                    stops.append(numbers[b - 1] + 1)
-                    totals.append(sum(words[a:b]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(pa.array(rows, pa.int64())),
-                    *(pa.array(x, pa.int64()) for x in (starts, stops, totals)),
-                ],
-                names=["id", "start", "stop", "n_words"],
-            )
+            out = []
+            values = (batch.column(c).to_pylist() for c in ("matches", "lines", "words", "numbers"))
+            for found, lines, words, numbers in zip(*values, strict=True):
+                before = [0, *np.cumsum(words).tolist()]
+                runs = defaultdict(set)
+                for m in found:
+                    source = (*m["earlier"].values(), m["place"] - m["at"])
+                    runs[source].add(equal_run(lines, m["lines"], m["at"], m["low"], m["place"]))
+                spans = set()
+                for parts in runs.values():
+                    start = stop = -1
+                    for a, b in [*sorted(parts), (len(lines) + 1,) * 2]:
+                        if a <= stop:
+                            stop = max(stop, b)
+                            continue
+                        if start >= 0 and before[stop] - before[start] >= min_words:
+                            spans.add((start, stop))
+                        start, stop = a, b
+                number = numbers or range(len(lines))
+                out.append([{"start": number[a], "stop": number[b - 1] + 1} for a, b in sorted(spans)])
+            spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, spans_kind)], names=["id", "spans"])
 
-    spans = compared.mapInArrow(compare, f"id {id_kind}, start long, stop long, n_words long")
-    # A document has fewer spans than lines.
-    return spans.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return (
+        met.join(once, "id")
+        .mapInArrow(compare, f"id {id_kind}, spans array<struct<start:long,stop:long>>")
+        .where(F.size("spans") > 0)
+    )
 
 
 def _without(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

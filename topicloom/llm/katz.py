@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import LOWER_TABLE, WordHashes, mix, sorted_groups, text_of
+from topicloom.llm.common import LOWER_TABLE, WordHashes, byte_column, mix, slices, sorted_groups, text_of
 from topicloom.session import materialize
 
 CUTOFF = 5
@@ -110,10 +110,10 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
     keys: list = []
     train: list[bool] = []
     size = 0
-    for batch in batches:
-        columns = (c.to_pylist() for c in batch.columns)
-        for key, trains, text in zip(*columns, strict=True):
-            words = text.encode().translate(LOWER_TABLE).split()
+    for batch in slices(batches):
+        columns = [batch.column(c).to_pylist() for c in ("key", "train")]
+        for key, trains, text in zip(*columns, byte_column(batch, "text"), strict=True):
+            words = text.translate(LOWER_TABLE).split()
             words.append(b" end")
             arrays.append(hashes.of(words))
             keys.append(key)
@@ -162,26 +162,31 @@ def _bigrams(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for seq, (arrays, keys, train) in enumerate(_hashed(batches)):
             batch_id = (part << 20) + seq
-            tokens = np.concatenate(arrays)
             lengths = np.array([len(a) for a in arrays])
-            docs = np.repeat(np.arange(len(arrays)), lengths)
-            before = np.empty_like(tokens)
-            before[1:] = tokens[:-1]
-            before[np.cumsum(lengths) - lengths] = START
-            words, w = np.unique(tokens, return_inverse=True)
+            starts = np.cumsum(lengths) - lengths
+            words, w = np.unique(np.concatenate(arrays), return_inverse=True)
+            arrays.clear()
+            w = w.astype(np.int32)
             h = np.empty_like(w)
             h[1:] = w[:-1]
-            h[np.cumsum(lengths) - lengths] = len(words)
+            h[starts] = len(words)
             histories = np.append(words, np.uint64(START))
-            spread = np.isin(words, hot)[w]
-            place = mix(np.where(spread, mix(tokens) + before, tokens)) % np.uint64(buckets)
-            place = place.astype(np.int64)
+            docs = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            place = (mix(words) % np.uint64(buckets)).astype(np.int64)[w]
+            spread = np.flatnonzero(np.isin(words, hot)[w])
+            both = mix(words)[w[spread]] + histories[h[spread]]
+            place[spread] = (mix(both) % np.uint64(buckets)).astype(np.int64)
             bits = max(1, int(len(histories)).bit_length())
             if 2 * bits + int(buckets).bit_length() < 63:
-                order = np.argsort((place << (2 * bits)) | (w << bits) | h, kind="stable")
+                place <<= 2 * bits
+                place |= w.astype(np.int64) << bits
+                place |= h
+                order = np.argsort(place, kind="stable").astype(np.int32)
+                place = (place >> (2 * bits)).astype(np.int32)
             else:
                 order = np.lexsort((h, w, place))
             place, w, h, docs = place[order], w[order], h[order], docs[order]
+            del order
             trains = np.array(train, bool)
             # An entry is a document's bigram; a pair is a bigram.
             entry = _runs(place, w, h, docs)

@@ -200,7 +200,8 @@ def _scanner(automaton) -> Column:
         found = automaton.value
         for values in texts:
             out = []
-            for value in values.to_pylist():
+            parts = (values.slice(at, 500).to_pylist() for at in range(0, len(values), 500))
+            for value in (v for part in parts for v in part):
                 words = plain_words(value.encode())
                 spans, names = found.scan(words)
                 out.append(

@@ -27,7 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import WordHashes, byte_column, ddl, mix, plain_words, shingle_hashes, sorted_groups, text_of
+from topicloom.llm.common import (
+    WordHashes,
+    byte_column,
+    ddl,
+    mix,
+    plain_words,
+    shingle_hashes,
+    slices,
+    sorted_groups,
+    text_of,
+)
 from topicloom.session import materialize
 
 SIZE = 5
@@ -89,7 +99,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, bands: int, rows:
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seeds = WordHashes(), _seeds(bands * rows)
-        for batch in batches:
+        for batch in slices(batches):
             ids, lists = [], []
             for found in _sets(byte_column(batch, "text"), hashes, size):
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
@@ -284,7 +294,7 @@ def _blocks(
 
     def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             # Rows that repeat the key may have other texts.
             nodes, sets, rows = batch.column("node").to_pylist(), [], []
             for i, found in enumerate(_sets(byte_column(batch, "text"), hashes, size)):

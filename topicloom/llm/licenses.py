@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from topicloom.llm.common import WordHashes, byte_column, ddl, plain_words, shingle_hashes, text_of
+from topicloom.llm.common import WordHashes, byte_column, ddl, plain_words, shingle_hashes, slices, text_of
 from topicloom.llm.jaccard import band_hashes, choose_bands, signature
 
 SIZE = 5
@@ -167,7 +167,7 @@ def license_scan(
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices, size, containment, recall)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for i, value in enumerate(byte_column(batch, "text")):
                 found = scanner.scan(value)

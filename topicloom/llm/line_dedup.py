@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import byte_column, mix, text_of
+from topicloom.llm.common import byte_column, mix, slices, text_of
 from topicloom.session import materialize
 
 MIN_WORDS = 40
@@ -140,7 +140,7 @@ def repeated_runs(
     fields = ("grams", "places", "backs", "aheads")
 
     def fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(7)]
             for value in byte_column(batch, "text"):
                 hashes, words, numbers = hashed_lines(value)

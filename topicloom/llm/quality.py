@@ -106,7 +106,8 @@ def measure(text: str) -> tuple[int, ...]:
 
 def _measures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for values in texts:
-        rows = np.array([measure(t) for t in values.to_pylist()], dtype=np.int64)
+        parts = (values.slice(at, 500).to_pylist() for at in range(0, len(values), 500))
+        rows = np.array([measure(t) for part in parts for t in part], dtype=np.int64)
         rows = rows.reshape(len(values), len(_FIELDS))
         yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], fields=list(_ARROW_KIND))
 

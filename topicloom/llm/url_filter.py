@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import byte_column, text_of
+from topicloom.llm.common import byte_column, slices, text_of
 from topicloom.session import materialize
 
 # (verdict, host, path). A rule's host has subdomains; its path is a prefix.
@@ -86,7 +86,7 @@ def count_words(pages: DataFrame, html: str = "html") -> DataFrame:
                 [pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for value in byte_column(batch, "html"):
                 counts.update(value.translate(_LETTERS).split())
                 if len(counts) > 500_000:

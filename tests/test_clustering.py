@@ -30,7 +30,7 @@ def test_kmeans_from_given_centres(spark):
     labels = {r.id: r.c for r in C.assign(df, "v", centers, "c").collect()}
     assert labels == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
     # A centre without rows stays; a tie goes to the lower number.
-    kept = C.kmeans_from_centers(df, "v", [*centers, [500.0, 500.0]], 1)
+    kept = C.kmeans_from_centers(df, "v", {**centers, 2: [500.0, 500.0]}, 1)
     assert kept[2] == [500.0, 500.0]
     assert {r.c for r in C.assign(df, "v", [[3.0, 3.0], [3.0, 3.0]], "c").collect()} == {0}
 
@@ -50,7 +50,9 @@ def test_silhouette_counts_a_singleton_as_zero(spark):
 
 def test_sweep_and_choice_of_k(spark):
     df = points(spark).withColumn("features", array_to_vector("v"))
-    sweep = C.k_sweep(df, ks=(2, 3))
+    sweep, labelled = C.k_sweep(df, ks=(2, 3))
+    assert len({(r.cluster_2, r.id > 2) for r in labelled.collect()}) == 2
+    assert {"cluster_2", "cluster_3"} <= set(labelled.columns)
     assert [r.k for r in sweep.collect()] == [2, 3]
     assert all(-1 <= r.silhouette <= 1 for r in sweep.collect())
     assert C.best_k(sweep) == 2
@@ -105,14 +107,6 @@ def test_string_index_and_one_hot(spark):
     assert list(both.filter("s = 'a'").first().features) == [1.0, 0.5]
 
 
-def test_word_floor_bounds_the_vocabulary(spark):
-    rows = [(["a"] * 9 + ["b"] * 7 + ["c"] * 7 + ["d"] * 5,)]
-    df = spark.createDataFrame(rows, "stems array<string>")
-    assert features.word_floor(df, "stems", 5, 10) == 5
-    assert features.word_floor(df, "stems", 5, 3) == 7
-    assert features.word_floor(df, "stems", 5, 2) == 9
-
-
 def test_word2vec_document_vector_is_the_mean(spark):
     rows = [(i, ["x", "y"]) for i in range(5)] + [(9, ["unseen"])]
     df = spark.createDataFrame(rows, "doc_id long, stems array<string>")
@@ -121,3 +115,20 @@ def test_word2vec_document_vector_is_the_mean(spark):
     out = {r.doc_id: r.features.toArray() for r in model.transform(df).collect()}
     assert out[0] == pytest.approx((words["x"] + words["y"]) / 2, abs=1e-6)
     assert list(out[9]) == [0.0] * 4
+
+
+def test_labels_of_centres_stay(spark):
+    df = points(spark)
+    centers = {7: [0.0, 0.0], 3: [9.0, 9.0]}
+    labels = {r.id: r.c for r in C.assign(df, "v", centers, "c").collect()}
+    assert labels == {0: 7, 1: 7, 2: 7, 3: 3, 4: 3, 5: 3}
+    assert {r.cluster for r in C.nearest_to_centers(df, "id", "v", centers, 1).collect()} == {3, 7}
+
+
+def test_plan_does_not_grow_with_the_centres(spark):
+    df = points(spark)
+    nodes = [
+        str(C.assign(df, "v", [[float(i), 0.0] for i in range(k)])._jdf.queryExecution().optimizedPlan().treeString()).count("CASE")
+        for k in (2, 200)
+    ]
+    assert nodes[0] == nodes[1]

@@ -61,6 +61,23 @@ def test_accents_fold_to_ascii(spark):
     assert one(spark, "plain", X.fold_accents("t").alias("a")).a == "plain"
 
 
+@pytest.mark.parametrize(
+    ("text", "folded"),
+    [
+        ("foo\u00a0bar", "foo bar"),
+        ("a\u3000b", "a b"),
+        ("wait…what", "wait...what"),
+        ("™ №", "TM No"),
+        ("！", "!"),
+        ("½", "12"),
+        ("\U0001d400", "A"),
+        ("a\u0301中", "a"),
+    ],
+)
+def test_compatibility_forms_fold(spark, text, folded):
+    assert one(spark, text, X.fold_accents("t").alias("a")).a == folded
+
+
 def test_s_strip(spark):
     words = ["ponies", "cats", "bus", "grass", "dies", "movies", "shoes", "trees", "s", "is"]
     df = spark.createDataFrame([(w,) for w in words], "w string")

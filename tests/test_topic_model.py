@@ -47,20 +47,23 @@ def test_empty_column_dropper_learns_from_its_argument(spark):
     assert learned.transform(later).columns == ["doc_id", "text"]
 
 
-def test_vector_stage_equals_the_long_form(spark):
-    from topicloom.operators import vocabulary as V
+def test_long_form_equals_the_vectors(spark):
     from topicloom.operators import weighting as W
 
     docs = TextAnalyzer(stemmer="s_strip").transform(corpus(spark).filter("text is not null"))
     for power in (1, 2):
         fitted = TfidfVectorizer(maxDF=1.0, idfPower=power).fit(docs)
-        terms = fitted.stages[1].vocabulary
+        terms = W.terms_of(fitted)
         vectors = {r.doc_id: r.features for r in fitted.transform(docs).collect()}
-        idf = W.idf_table(V.fit_vocabulary(docs, 6, max_df=1.0), 6)
-        for r in W.tfidf(V.with_terms(docs), idf, idf_power=power).collect():
+        for r in W.term_weights(fitted, docs).collect():
             assert vectors[r.doc_id][terms.index(r.term)] == pytest.approx(r.weight)
 
 
+def test_k_is_chosen_among_several(spark):
+    fitted = TopicModel(k=[2, 3, 4], n_terms=2, weights={"low": 1, "high": 1, "maxDF": 1.0}).fit(corpus(spark))
+    assert fitted.sizes().count() == len({r.cluster for r in fitted.labels.collect()}) in (2, 3, 4)
+
+
 def test_stages_compose_in_a_pipeline(spark):
     pipe = Pipeline(stages=[TextAnalyzer(), TfidfVectorizer(maxDF=1.0)])
     out = pipe.fit(corpus(spark).na.drop(subset=["text"])).transform(corpus(spark).na.drop(subset=["text"]))

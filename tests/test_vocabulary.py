@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import vocabulary as V
 from topicloom.operators import weighting as W
+from topicloom.plans.stages import TfidfVectorizer
 
 
 def docs(spark, *lists):
@@ -27,21 +28,42 @@ def test_idf_is_smoothed(spark):
     assert got == pytest.approx({"a": 1.0, "b": 1 + math.log(2), "c": 1 + math.log(2)})
 
 
+def fitted(docs, **limits):
+    return TfidfVectorizer(high=1, maxDF=1.0, **limits).fit(docs)
+
+
 def test_single_and_double_weighting(spark):
     table = small(spark)
-    idf = W.idf_table(V.fit_vocabulary(table, 3, 1, 1, max_df=1.0), 3)
     b = 1 + math.log(2)
     for power in (1, 2):
-        rows = W.tfidf(table, idf, terms="stems", idf_power=power).collect()
+        rows = W.term_weights(fitted(table, idfPower=power), table).collect()
         got = {(r.doc_id, r.term): r.weight for r in rows}
         length = math.hypot(1, b**power)
         assert got[0, "a"] == pytest.approx(1 / length)
         assert got[0, "b"] == pytest.approx(b**power / length)
         assert got[1, "a"] == pytest.approx(1)
     # An unseen term drops, the rest is scaled to length 1.
-    fresh = docs(spark, ["a", "z", "b"])
-    got = {r.term: r.weight for r in W.tfidf(fresh, idf, terms="stems").collect()}
-    assert got == pytest.approx({"a": 1 / math.hypot(1, b), "b": b / math.hypot(1, b)})
+    fresh = docs(spark, ["a", "z", "b", "b"])
+    got = {r.term: (r.tf, r.weight) for r in W.term_weights(fitted(table), fresh).collect()}
+    length = math.hypot(1, 2 * b)
+    assert got["a"] == pytest.approx((1, 1 / length)) and got["b"] == pytest.approx((2, 2 * b / length))
+
+
+def test_bounds_are_shares(spark):
+    with pytest.raises(ValueError, match="share"):
+        TfidfVectorizer(minDF=2.0).fit(small(spark))
+
+
+def test_vocabulary_does_not_depend_on_the_partitions(spark):
+    table = V.analyze(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), stemmer="s_strip"
+    ).select("doc_id", "words", "stems")
+    found = []
+    for n in (1, 16):
+        dealt = table.repartition(n, "doc_id")
+        kept = V.fit_vocabulary(dealt, 200, max_features=500)
+        found.append(sorted(tuple(r) for r in kept.collect()))
+    assert found[0] == found[1] and len(found[0]) == 500
 
 
 def test_counts_agree_with_count_vectorizer_and_idf(spark):
@@ -79,9 +101,7 @@ def test_bounds_are_inclusive_and_cap_breaks_ties_by_term(spark):
 
 
 def test_weights_have_length_one(spark):
-    table = small(spark)
-    idf = W.idf_table(V.fit_vocabulary(table, 3, max_df=1.0), 3)
-    rows = W.tfidf(V.with_terms(table), idf)
+    rows = W.term_weights(fitted(small(spark)), small(spark))
     norms = rows.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert len(norms) == 3 and all(r.n == pytest.approx(1) for r in norms)
 
@@ -102,14 +122,12 @@ def test_first_surface_word_and_ngram_labels(spark):
     assert V.stem_to_word(terms, words, first_only=True).first().word == "dogs"
 
 
-def test_weighting_shuffles_only_once(spark, tmp_path):
+def test_weighting_does_not_shuffle(spark, tmp_path):
     path = str(tmp_path / "docs")
     small(spark).write.parquet(path)
     table = spark.read.parquet(path)
-    idf = W.idf_table(V.fit_vocabulary(table, 3, max_df=1.0), 3)
-    plan = plan_of(W.tfidf(V.with_terms(W.by_key(table)), idf.limit(10)))
-    body = plan[: plan.index("BroadcastExchange")]
-    assert body.count("Exchange hashpartitioning") == 1
+    plan = plan_of(W.term_weights(fitted(table), table))
+    assert "hashpartitioning" not in plan
 
 
 def test_no_python_outside_the_stemmer(spark):

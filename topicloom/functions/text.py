@@ -3,6 +3,7 @@ Porter2 stemmer, which stems each distinct token of an Arrow batch once."""
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Callable, Sequence
@@ -82,10 +83,6 @@ def keep_alpha(tokens: Column | str) -> Column:
     return F.filter(_col(tokens), lambda t: t.rlike("[a-zA-Z]"))
 
 
-def lower_tokens(tokens: Column | str) -> Column:
-    return F.transform(_col(tokens), F.lower)
-
-
 def remove_stop_words(tokens: Column | str, words: Sequence[str] = ENGLISH) -> Column:
     """Drop stop words and keep repeats and order of the rest."""
     if not words:
@@ -94,29 +91,33 @@ def remove_stop_words(tokens: Column | str, words: Sequence[str] = ENGLISH) -> C
 
 
 @cache
-def _accent_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters whose compatibility form is ASCII once marks are dropped:
-    those that give one character, and the Latin ligatures, which give more."""
-    accented, plain, ligatures = [], [], []
-    for code in range(0x80, 0x10000):
+def _accent_table() -> tuple[str, str, str]:
+    """Characters whose compatibility form is ASCII once marks are dropped: those
+    that give one character, with it, and a JSON map of those that give more."""
+    accented, plain, longer = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
-        if len(folded) == 1 and folded.isalnum():
+        if len(folded) == 1:
             accented.append(char)
             plain.append(folded)
-        elif len(folded) > 1 and folded.isalpha() and "LIGATURE" in unicodedata.name(char, ""):
-            ligatures.append((char, folded))
-    return "".join(accented), "".join(plain), tuple(ligatures)
+        elif folded:
+            longer[char] = folded
+    return "".join(accented), "".join(plain), json.dumps(longer)
 
 
 def fold_accents(text: Column | str) -> Column:
-    """Accented letters become plain ones; whatever is still not ASCII goes."""
-    accented, plain, ligatures = _accent_table()
+    """The compatibility form of each character, as far as it is ASCII."""
+    accented, plain, longer = _accent_table()
     text = as_text(text)
-    folded = text
-    for char, letters in ligatures:
-        folded = F.replace(folded, F.lit(char), F.lit(letters))
-    folded = F.regexp_replace(F.translate(folded, accented, plain), r"[^\x00-\x7F]", "")
+    single = F.translate(text, accented, plain)
+    table = F.from_json(F.lit(longer), "map<string,string>")
+    left = F.array_distinct(F.regexp_extract_all(single, F.lit(r"([^\x00-\x7F])"), F.lit(1)))
+    folded = F.aggregate(
+        left,
+        single,
+        lambda out, char: F.replace(out, char, F.coalesce(F.element_at(table, char), F.lit(""))),
+    )
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
@@ -208,8 +209,6 @@ def term_stems(term: Column | str) -> Column:
     return F.split(_col(term), " ")
 
 
-def title_of(text: Column | str, width: int = 60) -> Column:
-    """First line of a text, cut to ``width`` characters."""
-    return F.substring(F.split_part(as_text(text), F.lit("\n"), F.lit(1)), 1, width)
-
-
+def title_of(text: Column | str) -> Column:
+    """First line of a text."""
+    return F.split_part(as_text(text), F.lit("\n"), F.lit(1))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import json
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.functions.vectors import cosine, doubles, literal_vector, squared_distance
+from topicloom.functions.vectors import cosine, doubles, squared_distance
 from topicloom.operators.features import group_means
 
 
@@ -42,50 +43,67 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluste
 
 def k_sweep(
     df: DataFrame, ks: Iterable[int] = range(2, 10), seed: int = 42, features: str = "features"
-) -> DataFrame:
-    """``(k, cost, silhouette)`` per number of clusters. ``df`` is read by every
-    fit, so pass a stored table rather than an expensive plan."""
-    rows = []
+) -> tuple[DataFrame, DataFrame]:
+    """``(k, cost, silhouette)`` per number of clusters, and ``df`` with a column
+    ``cluster_<k>`` of labels for each. ``df`` is read by every fit, so pass a
+    stored table rather than an expensive plan."""
+    rows, labelled = [], df
     for k in ks:
-        model = fit_kmeans(df, k, seed, features)
-        score = silhouette(model.transform(df), features)
+        name = f"cluster_{k}"
+        model = fit_kmeans(df, k, seed, features, name)
+        labelled = model.transform(labelled)
+        score = silhouette(model.transform(df), features, name)
         rows.append((k, float(model.summary.trainingCost), float(score)))
-    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
+    sweep = df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
+    return sweep, labelled
 
 
 def best_k(sweep: DataFrame) -> int:
+    """The k with the largest silhouette, the smaller one on a tie."""
     return sweep.agg(F.max_by("k", F.struct("silhouette", -F.col("k")))).first()[0]
 
 
 # ------------------------------------------------- k-means from given centres
 
+# Centres by label; a list has the labels 0, 1, 2, …
+Centers = Mapping[int, Sequence[float]] | Sequence[Sequence[float]]
 
-def _distances(vector: str, centers: Sequence[Sequence[float]]):
-    point = doubles(vector)
-    return F.array(*[squared_distance(point, literal_vector(c)) for c in centers])
 
+def _by_label(centers: Centers) -> dict[int, list[float]]:
+    pairs = centers.items() if isinstance(centers, Mapping) else enumerate(centers)
+    return {int(label): [float(v) for v in center] for label, center in pairs}
 
-def assign(
-    df: DataFrame, vector: str, centers: Sequence[Sequence[float]], output: str = "cluster"
-) -> DataFrame:
-    """Label each row with its nearest centre, the lower number on a tie."""
-    return (
-        df.withColumn("_d", _distances(vector, centers))
-        .withColumn(output, (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
-        .drop("_d")
+
+def _to_centers(centers: Centers, measure: Callable[[Column], Column], name: str) -> Column:
+    """``measure`` of every centre with its label, from one constant that holds
+    all centres: the plan does not grow with their number or width."""
+    rows = [{"label": label, "v": v} for label, v in _by_label(centers).items()]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<label:int,v:array<double>>>")
+    return F.transform(
+        table, lambda c: F.struct(measure(c["v"]).alias(name), c["label"].alias("cluster"))
     )
 
 
+def _distances(vector: str, centers: Centers) -> Column:
+    point = doubles(vector)
+    return _to_centers(centers, lambda center: squared_distance(point, center), "d2")
+
+
+def assign(df: DataFrame, vector: str, centers: Centers, output: str = "cluster") -> DataFrame:
+    """Label each row with its nearest centre, the lower label on a tie."""
+    return df.withColumn(output, F.array_min(_distances(vector, centers))["cluster"])
+
+
 def kmeans_from_centers(
-    df: DataFrame, vector: str, centers: Sequence[Sequence[float]], iterations: int
-) -> list[list[float]]:
+    df: DataFrame, vector: str, centers: Centers, iterations: int
+) -> dict[int, list[float]]:
     """Lloyd's iterations from given centres.
 
     Rows never move: each iteration is one narrow pass with partial sums per
     cluster, and only k centres return to the driver. A cluster that loses all
     its rows keeps its centre.
     """
-    current = [[float(v) for v in c] for c in centers]
+    current = _by_label(centers)
     for _ in range(iterations):
         means = group_means(assign(df, vector, current, "_cluster"), "_cluster", vector)
         for row in means.collect():
@@ -93,23 +111,21 @@ def kmeans_from_centers(
     return current
 
 
-def center_distances(
-    df: DataFrame, key: str, vector: str, centers: Sequence[Sequence[float]]
-) -> DataFrame:
+def center_distances(df: DataFrame, key: str, vector: str, centers: Centers) -> DataFrame:
     """Euclidean distance of each row to every centre."""
-    return df.select(key, F.posexplode(_distances(vector, centers)).alias("cluster", "d2")).select(
-        key, "cluster", F.sqrt("d2").alias("distance")
+    return df.select(key, F.explode(_distances(vector, centers)).alias("c")).select(
+        key, "c.cluster", F.sqrt("c.d2").alias("distance")
     )
 
 
 def nearest_to_centers(
-    df: DataFrame, key: str, vector: str, centers: Sequence[Sequence[float]], k: int = 6
+    df: DataFrame, key: str, vector: str, centers: Centers, k: int = 6
 ) -> DataFrame:
     """The ``k`` rows most similar to each centre by cosine. The rank filter is
     applied per task before the shuffle, so k rows per task and centre move."""
     point = doubles(vector)
-    scores = F.array(*[cosine(point, literal_vector(c)) for c in centers])
-    scored = df.select(key, F.posexplode(scores).alias("cluster", "similarity"))
+    scores = _to_centers(centers, lambda center: cosine(point, center), "similarity")
+    scored = df.select(key, F.explode(scores).alias("c")).select(key, "c.cluster", "c.similarity")
     order = Window.partitionBy("cluster").orderBy(F.round("similarity", 12).desc(), key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -132,7 +148,7 @@ def cluster_centers(weights: DataFrame, sizes: DataFrame, cluster: str = "cluste
     and no row. ``sizes`` has one row per cluster and includes documents that
     have no term at all."""
     sums = weights.groupBy(cluster, "term").agg(F.sum("weight").alias("total"))
-    return sums.join(F.broadcast(sizes.select(cluster, "size")), cluster).select(
+    return sums.join(sizes.select(cluster, "size"), cluster).select(
         cluster, "term", (F.col("total") / F.col("size")).alias("weight")
     )
 

@@ -15,31 +15,6 @@ from pyspark.sql.window import Window
 from topicloom.functions.vectors import cosine, doubles, literal_vector
 from topicloom.session import materialize
 
-# Word2Vec keeps one vector per word on the driver and in every task.
-MAX_WORD_VECTORS = 500_000
-
-
-def word_floor(docs: DataFrame, tokens: str, min_count: int, max_words: int) -> int:
-    """The smallest ``min_count`` that leaves at most ``max_words`` words."""
-    counts = (
-        docs.select(F.explode_outer(tokens).alias("token"))
-        .filter("token is not null")
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_count)
-    )
-    # The distinct counts of rare words are few; a histogram is enough.
-    histogram = counts.groupBy("n").agg(F.count("*").alias("words"))
-    if (histogram.agg(F.sum("words")).first()[0] or 0) <= max_words:
-        return min_count
-    running = F.sum("words").over(Window.orderBy(F.desc("n")))
-    kept = histogram.withColumn("kept", running).filter(F.col("kept") <= max_words)
-    floor = kept.agg(F.min("n")).first()[0]
-    if floor is None:
-        raise ValueError("no word count leaves a vocabulary this small")
-    return floor
-
-
 def fit_word2vec(
     docs: DataFrame,
     tokens: str = "stems",
@@ -47,19 +22,19 @@ def fit_word2vec(
     vector_size: int = 100,
     seed: int = 42,
     min_count: int = 5,
-    partitions: int | None = None,
-    max_words: int = MAX_WORD_VECTORS,
+    partitions: int = 4,
 ) -> Word2VecModel:
     """Word vectors whose mean is a document's vector.
 
-    Training is split over ``partitions`` (the cluster's slots by default).
+    Training is split over ``partitions``, whose vectors are combined: the result
+    depends on it, so it is a parameter and not taken from the cluster. The words
+    that occur ``min_count`` times must fit the driver and every task.
     """
-    slots = docs.sparkSession.sparkContext.defaultParallelism
     return Word2Vec(
         vectorSize=vector_size,
         seed=seed,
-        minCount=word_floor(docs, tokens, min_count, max_words),
-        numPartitions=partitions or slots,
+        minCount=min_count,
+        numPartitions=partitions,
         inputCol=tokens,
         outputCol=output,
     ).fit(docs)
@@ -99,7 +74,7 @@ def ordinals(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     )
     place = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset")
     return (
-        ranged.join(F.broadcast(offsets), "_range")
+        ranged.join(offsets, "_range")
         .withColumn(name, place.cast("bigint"))
         .drop("_slot", "_range", "_offset")
     )

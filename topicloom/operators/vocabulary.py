@@ -20,11 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from topicloom.functions import text as X
-from topicloom.session import broadcast_if_small, materialize
-
-# A table of terms is sent to every executor only up to this many rows.
-MAX_BROADCAST_TERMS = 1_000_000
-
+from topicloom.session import materialize
 
 def analyze(
     docs: DataFrame,
@@ -131,7 +127,7 @@ def first_words_of(docs: DataFrame, stems: DataFrame, key: str = "doc_id") -> Da
     the aggregation. ``stems`` must be small (top terms of the clusters)."""
     return (
         _word_pairs(docs, key)
-        .join(F.broadcast(stems.select("stem").distinct()), "stem", "left_semi")
+        .join(stems.select("stem").distinct(), "stem", "left_semi")
         .groupBy("stem")
         .agg(F.min_by("word", F.struct(key, "pos")).alias("word"))
     )
@@ -215,16 +211,19 @@ def feature_names(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def _frequent_ngrams(docs: DataFrame, low: int, high: int, least: float) -> list[DataFrame]:
-    """Level-wise counting: a run of n stems can only be in ``least`` documents
-    if both runs of n-1 stems inside it are. Runs that fail this are dropped
-    before the shuffle, which is exact and keeps the many one-off n-grams of a
-    large corpus out of it."""
+def frequent_terms(
+    docs: DataFrame, least: float, low: int = 1, high: int = 3
+) -> DataFrame:
+    """``(term, df, total)`` of the n-grams of ``stems`` in ``least`` documents or
+    more. They are counted level by level: a run of n stems can only be in that many
+    documents if both runs of n-1 stems inside it are. Runs that fail this are
+    dropped before the shuffle, which is exact and keeps the many one-off n-grams of
+    a large corpus out of it."""
     levels: list[DataFrame] = []
     for n in range(1, high + 1):
         tallies = _tallies(docs.select(X.ngrams("stems", n, n).alias("terms")), "terms")
         if n > 1:
-            known = broadcast_if_small(levels[-1].select("term"), MAX_BROADCAST_TERMS)
+            known = levels[-1].select("term")
             for part in (n - 1, 1 - n):
                 tallies = tallies.withColumn("part", F.substring_index("term", " ", part))
                 tallies = tallies.join(
@@ -232,7 +231,10 @@ def _frequent_ngrams(docs: DataFrame, low: int, high: int, least: float) -> list
                 )
         frequent = _sum_tallies(tallies.select("term", "n", "d")).filter(F.col("df") >= least)
         levels.append(materialize(frequent, f"terms{n}"))
-    return levels[low - 1 :]
+    frequency = levels[low - 1]
+    for level in levels[low:]:
+        frequency = frequency.unionByName(level)
+    return frequency
 
 
 def fit_vocabulary(
@@ -244,18 +246,7 @@ def fit_vocabulary(
     max_df: int | float = 0.8,
     max_features: int = 20_000,
 ) -> DataFrame:
-    """Pruned and capped terms ``(term, df, total)`` of the stems' n-grams.
-
-    At most ``max_features`` rows, so users of the result may broadcast it.
-    """
-    if max_features > MAX_BROADCAST_TERMS:
-        raise ValueError(f"max_features is at most {MAX_BROADCAST_TERMS}")
-    least = bound(min_df, n_docs)
-    if least > 1 and high > 1:
-        levels = _frequent_ngrams(docs, low, high, least)
-        frequency = levels[0]
-        for level in levels[1:]:
-            frequency = frequency.unionByName(level)
-    else:
-        frequency = document_frequency(with_terms(docs, low, high))
+    """Pruned and capped terms ``(term, df, total)`` of the stems' n-grams, at most
+    ``max_features`` rows."""
+    frequency = frequent_terms(docs, bound(min_df, n_docs), low, high)
     return cap(prune(frequency, n_docs, min_df, max_df), max_features)

@@ -1,24 +1,18 @@
-"""TF-IDF weights in long form ``(doc_id, term, tf, weight)``.
+"""TF-IDF weights.
 
-``docs`` should be partitioned by its key (see ``by_key``) before the terms are
-formed: counting, weighting and normalising then all run without another
-shuffle, and the capped vocabulary, the only other input, is broadcast. Python
-stemming hides the partitioning from the planner, so stems come first and
-``by_key`` after it.
+Weights live in the sparse vectors of a fitted ``TfidfVectorizer``, which are made
+row by row. The long form ``(doc_id, term, tf, weight)`` is unfolded from them
+last, so no token and no weight is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-
-def by_key(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Raw documents, hash-partitioned by key: the one shuffle of the text."""
-    return docs.repartition(key)
 
 
 def smoothed_idf(df: Column | str, n_docs: int) -> Column:
@@ -30,25 +24,27 @@ def idf_table(vocabulary: DataFrame, n_docs: int) -> DataFrame:
     return vocabulary.select("term", "df", smoothed_idf("df", n_docs).alias("idf"))
 
 
-def tfidf(
-    docs: DataFrame,
-    idf: DataFrame,
-    key: str = "doc_id",
-    terms: str = "terms",
-    idf_power: int = 1,
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """Weights of length 1 per document. ``idf_power=2`` weights twice.
+def terms_of(model: PipelineModel) -> list[str]:
+    """The fitted vocabulary, in the order of the vectors' places."""
+    return next(s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel))
 
-    ``idf`` comes from a capped vocabulary and is therefore bounded. Terms
-    outside it drop, so unseen documents are scored the same way.
-    """
-    hits = docs.select(key, *keep, F.explode_outer(terms).alias("term")).join(
-        F.broadcast(idf.select("term", "idf")), "term"
+
+def term_weights(
+    model: PipelineModel, docs: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(key, *keep, term, tf, weight)`` of documents with ``stems``: weights of
+    length 1 per document. Terms outside the vocabulary drop, so unseen documents
+    are scored the same way."""
+    spark = docs.sparkSession
+    # The vocabulary is capped.
+    names = spark.createDataFrame(list(enumerate(terms_of(model))), "place int, term string")
+    counts, weights = F.unwrap_udt("counts"), F.unwrap_udt(model.stages[-1].getOutputCol())
+    entries = F.arrays_zip(
+        counts["indices"].alias("place"), counts["values"].alias("tf"), weights["values"].alias("weight")
     )
-    counts = hits.groupBy(key, *keep, "term", "idf").agg(F.count("*").alias("tf"))
-    raw = F.col("tf") * F.pow("idf", F.lit(idf_power))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return counts.withColumn("raw", raw).select(
-        key, *keep, "term", "tf", (F.col("raw") / length).alias("weight")
+    unfolded = model.transform(docs).select(key, *keep, F.explode_outer(entries).alias("e"))
+    return (
+        unfolded.select(key, *keep, "e.place", F.col("e.tf").cast("bigint").alias("tf"), "e.weight")
+        .join(names, "place")
+        .select(key, *keep, "term", "tf", "weight")
     )

@@ -26,9 +26,9 @@ from topicloom.operators import (
     vocabulary,
     weighting,
 )
-from topicloom.plans.stages import TfidfVectorizer, learned_idf
+from topicloom.plans.stages import TfidfVectorizer
 from topicloom.plans.topic_model import TopicModel
-from topicloom.session import broadcast_if_small, materialize, scratch_path, spread
+from topicloom.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,17 +46,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return sources.scan_table(spark, "parquet", path=f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+def texts(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    """The texts, dealt out by key over the session's shuffle partitions: seeded
+    fits depend on the partitioning, so it must not follow from the files' sizes
+    or the cluster's."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", *keep)
+    return docs.repartition(partitions, "doc_id")
 
 
-def stemmed(spark: SparkSession, sf: str, stemmer: str = "s_strip") -> DataFrame:
-    return vocabulary.analyze(texts(spark, sf), stemmer=stemmer).select("doc_id", "words", "stems")
+def stemmed(
+    spark: SparkSession, sf: str, stemmer: str = "s_strip", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    docs = vocabulary.analyze(texts(spark, sf, *keep), stemmer=stemmer)
+    return docs.select("doc_id", *keep, "words", "stems")
 
 
-def stored_stems(spark: SparkSession, sf: str, stemmer: str = "s_strip") -> DataFrame:
+def stored_stems(
+    spark: SparkSession, sf: str, stemmer: str = "s_strip", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Tokenized and stemmed once, for queries that read the stems repeatedly."""
-    return materialize(stemmed(spark, sf, stemmer), "stems")
+    return materialize(stemmed(spark, sf, stemmer, keep), "stems")
 
 
 def vocabulary_of(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -64,37 +74,39 @@ def vocabulary_of(docs: DataFrame) -> tuple[DataFrame, int]:
     return vocabulary.fit_vocabulary(docs, n_docs), n_docs
 
 
-def weights_of(docs: DataFrame, idf_power: int = 1) -> DataFrame:
-    kept, n_docs = vocabulary_of(docs)
-    idf = materialize(weighting.idf_table(kept, n_docs), "idf")
-    terms = vocabulary.with_terms(weighting.by_key(docs.select("doc_id", "stems")))
-    return weighting.tfidf(terms, idf, idf_power=idf_power)
+def weights_of(docs: DataFrame, idf_power: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    model = TfidfVectorizer(idfPower=idf_power).fit(docs)
+    return weighting.term_weights(model, docs, keep=keep)
 
 
 def weighted(spark: SparkSession, sf: str, idf_power: int = 1) -> DataFrame:
     return weights_of(stored_stems(spark, sf), idf_power)
 
 
-def given_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a cluster number for their language."""
-    docs = table(spark, sf, "documents")
+def lang_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """A cluster number for each language."""
     # One row per language, so one task may number them.
     number = (F.row_number().over(Window.orderBy("lang")) - 1).cast("int")
-    numbers = docs.select("lang").distinct().withColumn("cluster", number)
-    return docs.join(broadcast_if_small(numbers, settings.MAX_CLUSTERS), "lang")
+    langs = table(spark, sf, "documents").select("lang").distinct()
+    return langs.withColumn("cluster", number)
 
 
-def given_centers(spark: SparkSession, sf: str) -> list[list[float]]:
-    """Mean vector of each label, in label order: one row per cluster."""
+def given_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a cluster number for their language."""
+    return table(spark, sf, "documents").join(lang_clusters(spark, sf), "lang")
+
+
+def given_centers(spark: SparkSession, sf: str) -> dict[int, list[float]]:
+    """Mean vector of each label: one row per cluster."""
     means = features.group_means(table(spark, sf, "embeddings"), "label", "embedding")
-    return [list(r["mean"]) for r in means.orderBy("label").collect()]
+    return {r["label"]: list(r["mean"]) for r in means.collect()}
 
 
 def lang_centers(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
-    clusters = given_clusters(spark, sf)
-    weights = weights_of(docs if docs is not None else stored_stems(spark, sf))
-    labelled = clustering.attach_cluster(weights, clusters)
-    return clustering.cluster_centers(labelled, clustering.cluster_sizes(clusters))
+    """Centres of the languages; ``docs`` are stored stems with ``lang``."""
+    docs = docs if docs is not None else stored_stems(spark, sf, keep=("lang",))
+    labelled = weights_of(docs, keep=("lang",)).join(lang_clusters(spark, sf), "lang")
+    return clustering.cluster_centers(labelled, clustering.cluster_sizes(given_clusters(spark, sf)))
 
 
 def incomplete(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +154,7 @@ def view_select(spark, sf):
 def dim_from_local(spark, sf):
     colours = sources.dimension(spark, enumerate(settings.COLOURS), "slot int, colour string")
     rows = table(spark, sf, "embeddings").withColumn("slot", F.col("label") % len(settings.COLOURS))
-    return rows.join(F.broadcast(colours), "slot").groupBy("label", "colour").agg(
+    return rows.join(colours, "slot").groupBy("label", "colour").agg(
         F.count("*").alias("n")
     )
 
@@ -200,9 +212,8 @@ def row_count(spark, sf):
 
 @query
 def describe_columns(spark, sf):
-    return clean.describe_columns(
-        table(spark, sf, "documents"), ["doc_id", "n_chars", "lang", "source"]
-    )
+    described = clean.describe_columns(table(spark, sf, "documents"))
+    return described.withColumns({c: tidy(F.col(c)) for c in ("mean", "stddev")})
 
 
 @query
@@ -247,10 +258,8 @@ def attach_cluster(spark, sf):
 
 @query
 def stem_to_word(spark, sf):
-    docs = stored_stems(spark, sf)
-    kept, _ = vocabulary_of(docs)
-    words = vocabulary.first_words(vocabulary.vocab_frame(docs))
-    return vocabulary.stem_to_word(kept.select("term"), words)
+    words = vocabulary.first_words(vocabulary.vocab_frame(stored_stems(spark, sf)))
+    return vocabulary.stem_to_word(words.select(F.col("stem").alias("term")), words)
 
 
 # ----------------------------------------------------------------------- text
@@ -340,7 +349,8 @@ def term_counts(spark, sf):
 @query
 def doc_frequency(spark, sf):
     n_docs = table(spark, sf, "documents").count()
-    frequency = vocabulary.document_frequency(vocabulary.with_terms(stemmed(spark, sf)))
+    least = vocabulary.bound(settings.NEW_MIN_DF, n_docs)
+    frequency = vocabulary.frequent_terms(stored_stems(spark, sf), least)
     return vocabulary.prune(frequency, n_docs, settings.NEW_MIN_DF, 0.8)
 
 
@@ -367,10 +377,9 @@ def tfidf_double(spark, sf):
 
 @query
 def tfidf_score_new(spark, sf):
-    kept, n_docs = vocabulary_of(stored_stems(spark, sf))
-    fresh = weighting.by_key(table(spark, sf, "benchmark"), "item_id")
-    terms = vocabulary.with_terms(vocabulary.analyze(fresh, stemmer="s_strip"))
-    scored = weighting.tfidf(terms, weighting.idf_table(kept, n_docs), key="item_id")
+    model = TfidfVectorizer().fit(stored_stems(spark, sf))
+    fresh = vocabulary.analyze(table(spark, sf, "benchmark"), stemmer="s_strip")
+    scored = weighting.term_weights(model, fresh, key="item_id")
     return scored.withColumn("weight", tidy(F.col("weight")))
 
 
@@ -463,7 +472,7 @@ def kmeans_vectors(spark, sf):
 def kmeans_fixed_init(spark, sf):
     rows = table(spark, sf, "embeddings")
     seeds = rows.groupBy("label").agg(F.min_by(doubles("embedding"), "vec_id").alias("v"))
-    start = [r["v"] for r in seeds.orderBy("label").collect()]
+    start = {r["label"]: r["v"] for r in seeds.collect()}
     centers = clustering.kmeans_from_centers(
         rows, "embedding", start, settings.KMEANS_ITERATIONS
     )
@@ -485,7 +494,18 @@ def cluster_centers(spark, sf):
 
 @query
 def k_sweep(spark, sf):
-    return clustering.k_sweep(materialize(dense_vectors(spark, sf), "vectors"))
+    """The labels of every k, beside the cost and silhouette of that k."""
+    sweep, labelled = clustering.k_sweep(materialize(dense_vectors(spark, sf), "vectors"))
+    names = [c for c in labelled.columns if c.startswith("cluster_")]
+    pairs = [F.struct(F.lit(int(n[8:])).alias("k"), F.col(n).alias("cluster")) for n in names]
+    labels = labelled.select("vec_id", F.inline(F.array(*pairs)))
+    return labels.join(sweep, "k")
+
+
+@query
+def choose_k(spark, sf):
+    sweep, _ = clustering.k_sweep(materialize(dense_vectors(spark, sf), "vectors"))
+    return spark.createDataFrame([(clustering.best_k(sweep),)], "k int")
 
 
 @query
@@ -507,7 +527,7 @@ def top_terms(spark, sf):
 
 @query
 def cluster_names(spark, sf):
-    docs = stored_stems(spark, sf)
+    docs = stored_stems(spark, sf, keep=("lang",))
     top = materialize(clustering.top_terms(lang_centers(spark, sf, docs)), "top")
     stems = top.select(F.explode(X.term_stems("term")).alias("stem"))
     words = vocabulary.first_words_of(docs, stems)
@@ -532,7 +552,7 @@ def cluster_titles(spark, sf):
 
 def named_documents(model: TopicModel, spark: SparkSession, sf: str) -> DataFrame:
     fitted = model.fit(table(spark, sf, "documents").select("doc_id", "text"))
-    labels = fitted.labels.join(F.broadcast(fitted.names), "cluster", "left")
+    labels = fitted.labels.join(fitted.names, "cluster", "left")
     return labels.select("doc_id", "cluster", "name")
 
 
@@ -592,13 +612,8 @@ def landmark_mds(spark, sf):
 
 @query
 def svd_2d(spark, sf):
-    docs = stored_stems(spark, sf)
-    model = TfidfVectorizer().fit(docs)
-    vectors = materialize(model.transform(docs).select("doc_id", "features"), "vectors")
-    components = layout.truncated_svd(vectors)
-    terms = vocabulary.with_terms(weighting.by_key(docs.select("doc_id", "stems")))
-    weights = weighting.tfidf(terms, learned_idf(spark, model))
-    return layout.svd_coordinates(weights, docs, model.stages[1].vocabulary, components)
+    vectors = tfidf_vectors(spark, sf)
+    return layout.svd_coordinates(vectors, layout.truncated_svd(vectors))
 
 
 @query

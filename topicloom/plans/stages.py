@@ -119,15 +119,6 @@ class NGramTerms(Transformer, _Stage):
         )
 
 
-def learned_idf(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """``(term, idf)`` of a fitted ``TfidfVectorizer``, for weights in long form."""
-    stages = {type(stage): stage for stage in model.stages}
-    terms = stages[CountVectorizerModel].vocabulary
-    scale = stages[ElementwiseProduct].getScalingVec().toArray()
-    rows = [(t, float(v)) for t, v in zip(terms, scale, strict=True)]
-    return spark.createDataFrame(rows, "term string, idf double")
-
-
 class TfidfVectorizer(Estimator, HasOutputCol, _Stage):
     """Learns the pruned, capped vocabulary of ``stems`` and its IDF.
 
@@ -169,6 +160,9 @@ class TfidfVectorizer(Estimator, HasOutputCol, _Stage):
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         value = self.getOrDefault
+        for share in (self.minDF, self.maxDF):
+            if not 0 <= value(share) <= 1:
+                raise ValueError(f"{share.name} is a share of the documents, from 0 to 1")
         n_docs = dataset.count()
         kept = vocabulary.fit_vocabulary(
             dataset,

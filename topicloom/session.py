@@ -13,7 +13,6 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 WAREHOUSE_KEY = "spark.sql.warehouse.dir"
@@ -61,13 +60,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting the rows; a larger table is joined
-    by shuffle. Meant for tables that are cheap to count."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def written(spark: SparkSession) -> list[str]:
     """Paths of the scratch tables this application has written and not released."""
     return list(_written.get(spark.sparkContext.applicationId, []))
@@ -83,13 +75,3 @@ def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)
             own.remove(path)
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has slots.
-
-    Text work is narrow and CPU-bound, so one small file would be tokenized in
-    one task. A large table has more splits than slots and is left alone.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots, key) if scan.rdd.getNumPartitions() < slots else scan

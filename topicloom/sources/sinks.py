@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-COORDINATE_SCHEMA = "doc_id bigint, x double, y double"
-
 
 def write_table(
     df: DataFrame,
@@ -30,10 +28,14 @@ def write_table(
     writer.save(path) if path is not None else writer.save()
 
 
-def write_coordinates(coords: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_coordinates(
+    coords: DataFrame, path: str, key: str = "doc_id", mode: str = "errorifexists"
+) -> None:
     """Numeric layout coordinates as gzip-compressed text."""
-    coords.select("doc_id", "x", "y").write.mode(mode).option("compression", "gzip").csv(path)
+    coords.select(key, "x", "y").write.mode(mode).option("compression", "gzip").csv(path)
 
 
-def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COORDINATE_SCHEMA).csv(path)
+def read_coordinates(
+    spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "bigint"
+) -> DataFrame:
+    return spark.read.schema(f"`{key}` {key_type}, x double, y double").csv(path)

@@ -18,7 +18,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.llm import decontaminate, jaccard, line_dedup, packing, quality
-from topicloom.llm.queries import table, vocabulary
+from topicloom.llm.queries import TEXTS_PER_BATCH, table, vocabulary
 from topicloom.session import materialize, release, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,6 +30,7 @@ _left: list[str] = []
 def _stage(apply: Stage) -> Stage:
     @wraps(apply)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
         release(spark, _left)
         before = set(written(spark))
         out = apply(spark, docs, sf_dir)

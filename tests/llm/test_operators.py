@@ -38,7 +38,7 @@ def test_tokens_equal_the_library(name, text):
 def test_memory_forgets_without_changing_results():
     texts = pa.array([prose(i, 300) for i in range(20)])
     small = tokens.IdEncoder(vocabulary("byte_bpe_50k.json"))
-    small.words, small.chunks = tokens.Memory(10), tokens.Memory(10)
+    small.memory = tokens.Memory(10)
     large = tokens.IdEncoder(vocabulary("byte_bpe_50k.json"))
     assert list(small.encode_all(texts)) == list(large.encode_all(texts))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,23 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task, which gives the memory it has freed back to the
+    system at its end: Spark keeps the worker for the next task."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def byte_column(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The texts as UTF-8."""
     values = batch.column(column)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import plain_words, text_of
+from topicloom.llm.common import plain_words, text_of, trimmed
 from topicloom.session import materialize
 
 WINDOW = 10
@@ -196,6 +196,7 @@ def item_pieces(
 
 def _scanner(automaton) -> Column:
     @F.arrow_udf(_FOUND)
+    @trimmed
     def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = automaton.value
         for values in texts:
@@ -286,6 +287,7 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
+@trimmed
 def _cut_out_lists(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for values, spans in texts:
         yield pa.array(

@@ -37,6 +37,7 @@ from topicloom.llm.common import (
     slices,
     sorted_groups,
     text_of,
+    trimmed,
 )
 from topicloom.session import materialize
 
@@ -97,6 +98,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, bands: int, rows:
     """``key, set_id, bands`` of each row; ``set_id`` is a 128-bit hash of the set,
     null without n-grams."""
 
+    @trimmed
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seeds = WordHashes(), _seeds(bands * rows)
         for batch in slices(batches):
@@ -201,6 +203,7 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
     """``a, b, links``: per class its links to other classes, counted in documents
     (``b`` null), and edges of the forests (``links`` null)."""
 
+    @trimmed
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in sorted_groups(batches, ["root", "i", "j"]):
             names, sizes, sides, sets = (rows.column(c).to_pylist() for c in ("node", "size", "side", "shingles"))
@@ -292,6 +295,7 @@ def _blocks(
     wanted = placed.join(classes, "node")
     names = ["node", "root", "blocks", "own", "size"]
 
+    @trimmed
     def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):

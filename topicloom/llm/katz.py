@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import LOWER_TABLE, WordHashes, byte_column, mix, slices, sorted_groups, text_of
+from topicloom.llm.common import LOWER_TABLE, WordHashes, byte_column, mix, slices, sorted_groups, text_of, trimmed
 from topicloom.session import materialize
 
 CUTOFF = 5
@@ -129,6 +129,7 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
 def count_words(rows: DataFrame) -> DataFrame:
     """``word, n_train, n_all`` by word hash, from ``key, train, text``."""
 
+    @trimmed
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for arrays, _, train in _hashed(batches):
             tokens = np.concatenate(arrays)
@@ -158,6 +159,7 @@ def _bigrams(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """``bucket, base, payload, keys, train``: the bigrams of a batch's documents
     in one bucket. Keys come with one of the batch's buckets only."""
 
+    @trimmed
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for seq, (arrays, keys, train) in enumerate(_hashed(batches)):
@@ -242,6 +244,8 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 
 # Kinds of rows in the stored tables.
 _STATS, _DOC, _HISTORY, _UNSEEN, _KEY = range(5)
+# Batches of a bucket whose documents are summed at a time.
+_BATCHES = 16
 _COUNTS = [f"c{r}" for r in range(1, CUTOFF + 2)]
 
 
@@ -259,6 +263,8 @@ def _count_bucket(
         docs.append(base + di.astype(np.int64))
         times.append(dc)
     w, h = np.concatenate(ws), np.concatenate(hs)
+    ws.clear()
+    hs.clear()
     if not len(w):
         return
     order = np.lexsort((h, w))
@@ -295,38 +301,46 @@ def _count_bucket(
             **sums,
         }
 
-    # Documents. Each token takes its own count off for the token after it.
-    entry = np.repeat(bigram, np.concatenate(in_pair))
-    doc, m = np.concatenate(docs), np.concatenate(times).astype(np.int64)
-    c, cw = count[entry], of_word[entry]
-    score = np.where(c > 0, np.log10(np.maximum(c, 1)), np.log10(uni[entry]))
-    ends = bw[entry] == np.uint64(END)
-    score = score - np.where(ends | (cw == 0), 0.0, np.log10(np.maximum(cw, 1)))
-    score = score - np.where(bh[entry] == np.uint64(START), np.log10(max(1, start)), 0.0)
-    order = np.argsort(doc, kind="stable")
-    begin = _runs(doc[order])
-    total = lambda x: np.add.reduceat(x[order], begin)
-    yield {
-        "kind": _DOC,
-        "id": doc[order][begin],
-        "n": total(m),
-        "known": total(np.where(cw > 0, m, 0)),
-        "x": total(m * np.log10(cw + 1.0)),
-        "y": total(m * score),
-        **{k: total(np.where(np.minimum(c, CUTOFF + 1) == i, m, 0)) for i, k in enumerate(_COUNTS, 1)},
-    }
-
-    unseen = np.flatnonzero(c == 0)
-    if len(unseen):
-        before, who, m = bh[entry[unseen]], doc[unseen], m[unseen]
-        order = np.lexsort((who, before))
-        begin = _runs(before[order], who[order])
+    # Documents. Each token takes its own count off for the token after it. A
+    # document is in one batch only, so some batches at a time will do.
+    at = 0
+    for low in range(0, len(docs), _BATCHES):
+        here = slice(low, low + _BATCHES)
+        times_in = np.concatenate(in_pair[here])
+        entry = np.repeat(bigram[at : at + len(times_in)], times_in)
+        at += len(times_in)
+        doc, m = np.concatenate(docs[here]), np.concatenate(times[here]).astype(np.int64)
+        c, cw = count[entry], of_word[entry]
+        score = np.where(c > 0, np.log10(np.maximum(c, 1)), np.log10(uni[entry]))
+        ends = bw[entry] == np.uint64(END)
+        score -= np.where(ends | (cw == 0), 0.0, np.log10(np.maximum(cw, 1)))
+        score -= np.where(bh[entry] == np.uint64(START), np.log10(max(1, start)), 0.0)
+        order = np.argsort(doc, kind="stable")
+        begin = _runs(doc[order])
+
+        def total(x: np.ndarray, order: np.ndarray = order, begin: np.ndarray = begin) -> np.ndarray:
+            return np.add.reduceat(x[order], begin)
+
         yield {
-            "kind": _UNSEEN,
-            "id": before[order][begin].view(np.int64),
-            "doc": who[order][begin],
-            "n": np.add.reduceat(m[order], begin),
+            "kind": _DOC,
+            "id": doc[order][begin],
+            "n": total(m),
+            "known": total(np.where(cw > 0, m, 0)),
+            "x": total(m * np.log10(cw + 1.0)),
+            "y": total(m * score),
+            **{k: total(np.where(np.minimum(c, CUTOFF + 1) == i, m, 0)) for i, k in enumerate(_COUNTS, 1)},
         }
+        unseen = np.flatnonzero(c == 0)
+        if len(unseen):
+            before, who, m = bh[entry[unseen]], doc[unseen], m[unseen]
+            order = np.lexsort((who, before))
+            begin = _runs(before[order], who[order])
+            yield {
+                "kind": _UNSEEN,
+                "id": before[order][begin].view(np.int64),
+                "doc": who[order][begin],
+                "n": np.add.reduceat(m[order], begin),
+            }
 
 
 def ngram_tables(rows: DataFrame, words: DataFrame, buckets: int) -> tuple[DataFrame, Unigrams]:
@@ -348,6 +362,7 @@ def ngram_tables(rows: DataFrame, words: DataFrame, buckets: int) -> tuple[DataF
     names = ["kind", "id", "doc", "n", "known", "x", "y", *_COUNTS]
     whole = {"x", "y"}
 
+    @trimmed
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in sorted_groups(batches, ["bucket"]):
             named = (table.column(c).to_pylist() for c in ("base", "keys", "train"))

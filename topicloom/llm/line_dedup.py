@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import byte_column, mix, slices, text_of
+from topicloom.llm.common import byte_column, mix, slices, text_of, trimmed
 from topicloom.session import materialize
 
 MIN_WORDS = 40
@@ -139,6 +139,7 @@ def repeated_runs(
     of lines, numbered among all its lines, stop exclusive."""
     fields = ("grams", "places", "backs", "aheads")
 
+    @trimmed
     def fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             columns: list[list] = [[] for _ in range(7)]
@@ -202,6 +203,7 @@ def repeated_runs(
         .agg(F.collect_list("m").alias("matches"))
     )
 
+    @trimmed
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -234,6 +236,7 @@ def repeated_runs(
     )
 
 
+@trimmed
 def _without(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, spans in rows:
         out = []

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from topicloom.llm.common import ddl, text_of
+from topicloom.llm.common import ddl, text_of, trimmed
 from topicloom.llm.tokens import IdEncoder
 from topicloom.session import materialize
 
@@ -47,6 +47,7 @@ def pieces(
     ``key, start, length, ids_crc32, doc_tokens`` and, with ``with_ids``, ``ids``
     (little-endian unsigned 32-bit)."""
 
+    @trimmed
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = IdEncoder(tokenizer)
         end = end_id.to_bytes(4, "little")

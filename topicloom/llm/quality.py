@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import text_of
+from topicloom.llm.common import text_of, trimmed
 from topicloom.session import materialize
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -104,6 +104,7 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
+@trimmed
 def _measures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for values in texts:
         parts = (values.slice(at, 500).to_pylist() for at in range(0, len(values), 500))

@@ -26,7 +26,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Texts that Spark hands to a Python worker at a time, and so holds in memory twice.
+TEXTS_PER_BATCH = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.llm.common import ddl, text_of
+from topicloom.llm.common import ddl, text_of, trimmed
 from topicloom.llm.tokens import IdEncoder, load
 from topicloom.session import materialize
 
@@ -217,6 +217,7 @@ def encode_documents(
     """``key, ids``: token ids plus ``end_id``, as little-endian uint16 if the
     vocabulary allows, else uint32 (``width`` says which)."""
 
+    @trimmed
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if load(tokenizer).get_vocab_size() <= 1 << 16 else 4
         encoder = IdEncoder(tokenizer, width)
@@ -236,6 +237,7 @@ def encode_documents(
 def token_frequencies(encoded: DataFrame) -> DataFrame:
     """``token, n`` over all documents, summed in the tasks first."""
 
+    @trimmed
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -275,6 +277,7 @@ def write_tokens(
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/frequencies")
     shared = spark.sparkContext.broadcast((tokens, freqs))
 
+    @trimmed
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*shared.value)
         part = TaskContext.get().partitionId()
@@ -340,6 +343,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", with_ids: b
     )
     blocks = spark.read.parquet(f"{path}/blocks")
 
+    @trimmed
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*shared.value)
         for batch in batches:

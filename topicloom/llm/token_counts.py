@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import ddl, text_of
+from topicloom.llm.common import ddl, text_of, trimmed
 from topicloom.llm.tokens import LONGEST, Cut, IdCounter, keeps_spaces, load, portions
 from topicloom.session import materialize
 
@@ -39,14 +39,15 @@ def frequent_words(docs: DataFrame, tokenizer: str, table_size: int, text: str)
     The least count is found from a histogram of the counts."""
     listed = 2 * table_size
 
+    @trimmed
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = keeps_spaces(load(tokenizer))
         counts: Counter[str] = Counter()
         for batch in batches:
             for part in portions(batch.column(0)):
                 cut = Cut(part, keep)
-                times = np.bincount(cut.index, minlength=len(cut.words)).tolist()
-                counts.update(dict(zip(cut.words.to_pylist(), times, strict=True)))
+                times = np.bincount(cut.index, minlength=len(cut.chunks)).tolist()
+                counts.update(dict(zip(cut.chunks, times, strict=True)))
                 if len(counts) > COUNTED:
                     counts = Counter(dict(counts.most_common(COUNTED // 2)))
         top = [(w, n) for w, n in counts.most_common(listed) if n > 1 and len(w) <= LONGEST]
@@ -86,9 +87,10 @@ def token_counts(
     spark = docs.sparkSession
     top = [r["word"] for r in frequent_words(docs, tokenizer, table_size, text).collect()]
     shared = spark.sparkContext.broadcast(
-        dict(zip(top, IdCounter(tokenizer).of_words(top), strict=True))
+        dict(zip(top, IdCounter(tokenizer).of_chunks(top), strict=True))
     )
 
+    @trimmed
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = IdCounter(tokenizer, shared.value)
         for batch in batches:

@@ -1,11 +1,10 @@
 """Token ids of whole texts, by a vocabulary file of the tokenizers library.
 
 A text is cut at places where the vocabulary's own splitting rule must end a
-piece anyway, so the library gives the same ids for the parts, one by one, as for
-the whole. Arrow cuts the texts of a batch into words and finds the distinct
-ones; only words that were not met before are encoded, and of those only letter
-runs and punctuation that were not. This is several times as fast as encoding
-every text anew.
+piece anyway, so the library gives the same ids for the chunks, one by one, as for
+the whole. Arrow cuts the texts of a batch and finds the distinct chunks; only
+those that were not met before are encoded. This is several times as fast as
+encoding every text anew.
 """
 
 from __future__ import annotations
@@ -20,22 +19,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Latin letters up to U+024F. A run of them ends a piece when an ASCII character
-# that is no letter follows; anything else goes on to the next white space.
+# Latin letters up to U+024F: a run of them ends a piece where punctuation follows.
+# The marks leave out the apostrophe, which may begin a piece with letters, and the
+# bars and brackets of special tokens.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_ENDS = r"(?=[\x00-@\[-`{-\x7f]|\Z)"
-WITH_SPACES = re.compile(rf"\s*(?:[{_LETTERS}]+{_ENDS}|\S+)|\s+")
-WITHOUT_SPACES = re.compile(rf"[{_LETTERS}]+{_ENDS}|\S+")
-# White space to Python but not to the vocabularies, and the one letter whose
-# lower case is two characters: texts with these are encoded whole.
-_ODD = r"[\x{1c}-\x{1f}\x{130}]"
+_MARKS = r"""!"#$%&()*+,./:;=?@"""
+_BREAK = f"([{_LETTERS}])([{_MARKS}])"
+# White space to Python but not to the vocabularies, the one letter whose lower
+# case is two characters, and what marks cuts here: texts with these are encoded
+# whole.
+_ODD = r"[\x{01}\x{1c}-\x{1f}\x{130}]"
 # A space after other white space does not begin a piece of its own, so these
-# texts are not cut at spaces but by the patterns above.
+# texts are cut by a pattern: white space with what follows it.
 _SPACED = (
     r"[\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 )
+_PATTERN = re.compile(r"\s*\S+|\s+")
 
-# Bytes of text that are cut at a time, and the longest part that is remembered.
+# Bytes of text that are cut at a time, and the longest chunk that is remembered.
 PORTION = 1 << 19
 LONGEST = 64
 
@@ -64,29 +65,32 @@ def portions(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 class Cut:
-    """Texts cut into words: ``words`` are distinct, ``index`` has one entry per
-    word of the texts, ``bounds`` where each text's entries begin and end. With
-    ``heads``, the first word of each text has no space before it. ``whole`` and
-    ``plain`` are rows that cannot be cut so; their text counts as empty here."""
+    """Texts cut into chunks: ``chunks`` are distinct, ``index`` has one entry per
+    chunk of the texts, ``bounds`` where each text's entries begin and end.
+    ``whole`` and ``plain`` are rows that are not cut; their text counts as empty
+    here."""
 
     def __init__(self, texts: pa.Array, keep_spaces: bool):
         odd = pc.match_substring_regex(texts, _ODD)
-        spaced = pc.match_substring_regex(texts, _SPACED) if keep_spaces else None
         self.whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         self.plain = np.zeros(0, np.int64)
         left_out = odd
-        if spaced is not None:
+        if keep_spaces:
+            spaced = pc.match_substring_regex(texts, _SPACED)
             left_out = pc.or_(odd, spaced)
             self.plain = np.flatnonzero(pc.and_not(spaced, odd).to_numpy(zero_copy_only=False))
         if len(self.whole) or len(self.plain):
             texts = pc.if_else(left_out, pa.scalar("", texts.type), texts)
-        lists = pc.split_pattern(texts, " ") if keep_spaces else pc.ascii_split_whitespace(texts)
-        flat = lists.flatten()
-        self.bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
-        coded = flat.dictionary_encode()
-        self.words = coded.dictionary
+        if keep_spaces:
+            marked = pc.replace_substring(texts, " ", "\x01 ")
+            marked = pc.replace_substring_regex(marked, _BREAK, "\\1\x01\\2")
+            lists = pc.split_pattern(marked, "\x01")
+        else:
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _BREAK, r"\1 \2"))
+        coded = lists.flatten().dictionary_encode()
+        self.chunks = coded.dictionary.to_pylist()
         self.index = coded.indices.to_numpy()
-        self.heads = flat.take(pa.array(self.bounds[:-1])).to_pylist() if keep_spaces else None
+        self.bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
 
 
 class Memory:
@@ -121,11 +125,11 @@ class Memory:
 
 
 class ChunkEncoder:
-    """Values of words, from those of their chunks.
+    """Values of chunks.
 
-    ``value`` makes the value of a chunk from its ids, ``join`` that of a word from
-    those of its chunks. ``fixed`` holds known values of words, which are never
-    forgotten. ``capacity`` bounds what is remembered beside them.
+    ``value`` makes the value of a chunk from its ids, ``join`` that of a text from
+    those of its chunks. ``fixed`` holds known values, which are never forgotten.
+    ``capacity`` bounds what is remembered beside them.
     """
 
     def __init__(
@@ -134,61 +138,43 @@ class ChunkEncoder:
         value: Callable[[list[int]], Any],
         join: Callable[[Iterable[Any]], Any],
         fixed: dict[str, Any] | None = None,
-        capacity: int = 100_000,
+        capacity: int = 200_000,
     ):
         self.tokenizer = load(path)
         self.keep_spaces = keeps_spaces(self.tokenizer)
         self.value, self.join = value, join
-        self.pattern = WITH_SPACES if self.keep_spaces else WITHOUT_SPACES
-        self.prefix = " " if self.keep_spaces else ""
         self.fixed = fixed
-        self.words, self.chunks = Memory(capacity), Memory(capacity)
+        self.memory = Memory(capacity)
 
     def whole(self, texts: list[str]) -> list[Any]:
         """By the library alone."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [self.value(e.ids) for e in found]
 
-    def plain(self, texts: list[str]) -> list[Any]:
-        """By the chunks of the texts."""
-        parts = list(map(self.pattern.findall, texts))
-        chunks = list(set().union(*parts))
-        values, missing = self.chunks.look_up(chunks)
-        new = [chunks[i] for i in missing]
-        fresh = self.whole(new)
-        for i, v in zip(missing, fresh, strict=True):
-            values[i] = v
-        self.chunks.put(new, fresh)
-        get = dict(zip(chunks, values, strict=True)).__getitem__
-        return [get(p[0]) if len(p) == 1 else self.join(map(get, p)) for p in parts]
-
-    def of_words(self, words: list[str]) -> list[Any]:
-        """Values of words that stand after a space."""
-        if not self.fixed:
-            values, missing = self.words.look_up(words)
-        else:
-            values = list(map(self.fixed.get, words))
+    def of_chunks(self, chunks: list[str]) -> list[Any]:
+        """Values of distinct chunks."""
+        if self.fixed:
+            values = list(map(self.fixed.get, chunks))
             rare = [i for i, v in enumerate(values) if v is None]
-            found, holes = self.words.look_up([words[i] for i in rare])
+            found, holes = self.memory.look_up([chunks[i] for i in rare])
             for i, v in zip(rare, found, strict=True):
                 values[i] = v
             missing = [rare[j] for j in holes]
-        new = [words[i] for i in missing]
-        fresh = self.plain([self.prefix + w for w in new])
+        else:
+            values, missing = self.memory.look_up(chunks)
+        new = [chunks[i] for i in missing]
+        fresh = self.whole(new)
         for i, v in zip(missing, fresh, strict=True):
             values[i] = v
-        self.words.put(new, fresh)
+        self.memory.put(new, fresh)
         return values
 
-    def cut(self, texts: pa.Array) -> tuple[Cut, list[Any]]:
-        """The texts' words, and the values that ``index`` points at."""
-        cut = Cut(texts, self.keep_spaces)
-        values = self.of_words(cut.words.to_pylist())
-        if cut.heads is not None and len(cut.heads):
-            cut.index = cut.index.astype(np.int64)
-            cut.index[cut.bounds[:-1]] = len(values) + np.arange(len(cut.heads))
-            values += self.plain(cut.heads)
-        return cut, values
+    def plain(self, texts: list[str]) -> list[Any]:
+        """By white space with what follows it."""
+        parts = list(map(_PATTERN.findall, texts))
+        chunks = list(set().union(*parts))
+        get = dict(zip(chunks, self.of_chunks(chunks), strict=True)).__getitem__
+        return [self.join(map(get, p)) for p in parts]
 
     def exceptions(self, cut: Cut, texts: pa.Array) -> Iterator[tuple[int, Any]]:
         """Rows that were not cut, with their values."""
@@ -206,8 +192,8 @@ class IdEncoder(ChunkEncoder):
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         for part in portions(texts):
-            cut, values = self.cut(part)
-            data = pa.array(values, pa.binary()).take(pa.array(cut.index))
+            cut = Cut(part, self.keep_spaces)
+            data = pa.array(self.of_chunks(cut.chunks), pa.binary()).take(pa.array(cut.index))
             ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
             edges = ends[cut.bounds].tolist() if len(data) else [0] * len(cut.bounds)
             whole = memoryview(data.buffers()[2] or b"")
@@ -218,7 +204,7 @@ class IdEncoder(ChunkEncoder):
 
 
 class IdCounter(ChunkEncoder):
-    """Numbers of ids of texts; ``fixed`` holds those of frequent words."""
+    """Numbers of ids of texts; ``fixed`` holds those of frequent chunks."""
 
     def __init__(self, path: str, fixed: dict[str, int] | None = None):
         super().__init__(path, len, sum, fixed)
@@ -226,8 +212,9 @@ class IdCounter(ChunkEncoder):
     def count_all(self, texts: pa.Array) -> np.ndarray:
         out = [np.zeros(0, np.int64)]
         for part in portions(texts):
-            cut, values = self.cut(part)
-            sums = np.concatenate([[0], np.cumsum(np.array(values, np.int64)[cut.index])])
+            cut = Cut(part, self.keep_spaces)
+            values = np.array(self.of_chunks(cut.chunks), np.int64)
+            sums = np.concatenate([[0], np.cumsum(values[cut.index])])
             counts = sums[cut.bounds[1:]] - sums[cut.bounds[:-1]]
             for row, value in self.exceptions(cut, part):
                 counts[row] = value

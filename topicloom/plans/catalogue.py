@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -316,6 +317,15 @@ def stem_porter2(spark, sf):
     return vocabulary.stem_vocabulary(stemmed(spark, sf), "porter2")
 
 
+@query
+def stop_words_after_stems(spark, sf):
+    """Words, accents folded, stop words compared with the stems."""
+    docs = vocabulary.analyze(
+        texts(spark, sf), tokenizer="words", stemmer="s_strip", stop_stage="stem", fold=True
+    )
+    return token_rows(docs, F.col("stems"))
+
+
 @query
 def explode_tokens(spark, sf):
     return vocabulary.explode_tokens(stemmed(spark, sf))
@@ -616,6 +626,31 @@ def svd_2d(spark, sf):
     return layout.svd_coordinates(vectors, layout.truncated_svd(vectors))
 
 
+@query
+def project_on_axes(spark, sf):
+    """Vectors on two given axes: the mean vectors of the first two labels."""
+    centers = given_centers(spark, sf)
+    axes = np.array([centers[label] for label in sorted(centers)[:2]]).T
+    placed = layout.svd_coordinates(dense_vectors(spark, sf), axes, key="vec_id")
+    return placed.select("vec_id", *[tidy(F.col(c)).alias(c) for c in ("x", "y")])
+
+
+@query
+def place_by_landmarks(spark, sf):
+    """Vectors placed by a given map from their distances to the first four."""
+    rows = table(spark, sf, "embeddings")
+    count = len(settings.LANDMARK_MEAN_SQUARES)
+    first = rows.orderBy("vec_id").limit(count).select(doubles("embedding").alias("v"))
+    distances = clustering.center_distances(
+        rows, "vec_id", "embedding", [r["v"] for r in first.collect()]
+    ).withColumnRenamed("cluster", "landmark")
+    given = layout.LandmarkMap(
+        np.array(settings.LANDMARK_AXES), np.array(settings.LANDMARK_MEAN_SQUARES)
+    )
+    placed = layout.place_by_landmarks(distances, rows, given, key="vec_id")
+    return placed.select("vec_id", *[tidy(F.col(c)).alias(c) for c in ("x", "y")])
+
+
 @query
 def pca_2d(spark, sf):
     return layout.pca_coordinates(table(spark, sf, "embeddings"), "vec_id", "embedding")

@@ -6,6 +6,8 @@ from topicloom.functions.stopwords import ENGLISH
 from topicloom.settings import (
     COLOURS,
     KMEANS_ITERATIONS,
+    LANDMARK_AXES,
+    LANDMARK_MEAN_SQUARES,
     NEIGHBOURS,
     NEW_MIN_DF,
     PAIR_THRESHOLD,
@@ -196,6 +198,18 @@ def _folded() -> str:
     return f"SELECT doc_id, {column} AS folded FROM documents"
 
 
+def _landmarks() -> str:
+    values = ", ".join(
+        f"({i + 1}, {x}, {y}, {m})"
+        for i, (x, y, m) in enumerate(zip(*LANDMARK_AXES, LANDMARK_MEAN_SQUARES, strict=True))
+    )
+    return f"""WITH {VECTORS}, map(r, ax, ay, ms) AS (VALUES {values}),
+        marks AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, v AS m FROM vecs)
+        SELECT vec_id, round(sum(ax * (pow(list_distance(v, m), 2) - ms)) * -0.5, 6) + 0.0 AS x,
+            round(sum(ay * (pow(list_distance(v, m), 2) - ms)) * -0.5, 6) + 0.0 AS y
+        FROM vecs, marks JOIN map USING (r) GROUP BY vec_id"""
+
+
 def _kmeans() -> str:
     steps = [
         f"WITH {VECTORS}",
@@ -268,6 +282,12 @@ def oracle_sql() -> dict[str, str]:
         "fold_accents": _folded(),
         "stem_vocabulary": f"""SELECT token, {_s_strip("token")} AS stem, count(*) AS n
             FROM (SELECT unnest({_keep(LETTERS)}) AS token FROM documents) GROUP BY token""",
+        "stop_words_after_stems": f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens,
+            array_to_string(t, ' ') AS tokens FROM (
+            SELECT doc_id, list_filter(list_transform(list_filter({WORDS},
+                    lambda t: regexp_matches(t, '[a-zA-Z]')), lambda t: {_s_strip("t")}),
+                lambda t: NOT list_contains({STOP_LIST}, t)) AS t
+            FROM (SELECT doc_id, folded AS text FROM ({_folded()})))""",
         "explode_tokens": f"""SELECT doc_id, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos,
             unnest(t) AS token FROM (SELECT doc_id, {_keep(LETTERS)} AS t FROM documents)""",
         "ngrams": f"""WITH {STEMMED} SELECT doc_id, CAST(len(g) AS INTEGER) AS n_terms,
@@ -326,6 +346,12 @@ def oracle_sql() -> dict[str, str]:
                 list_transform(ls, lambda x: CAST(x = label AS INTEGER)::DOUBLE), v) AS a
                 FROM vecs, flags)""",
         # clusters
+        "project_on_axes": f"""WITH {VECTORS}, {MEANS},
+            axes AS (SELECT m, row_number() OVER (ORDER BY label) AS r FROM mids)
+            SELECT vec_id, round(max(CASE WHEN r = 1 THEN list_dot_product(v, m) END), 6) + 0.0 AS x,
+                round(max(CASE WHEN r = 2 THEN list_dot_product(v, m) END), 6) + 0.0 AS y
+            FROM vecs, axes GROUP BY vec_id""",
+        "place_by_landmarks": _landmarks(),
         "kmeans_fixed_init": _kmeans(),
         "center_distances": f"""WITH {VECTORS}, {MEANS} SELECT vec_id, label AS cluster,
             round(list_distance(v, m), 6) AS distance

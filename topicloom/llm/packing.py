@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from topicloom.llm.common import ddl, text_of, trimmed
-from topicloom.llm.tokens import IdEncoder
+from topicloom.llm.tokens import id_encoder
 from topicloom.session import materialize
 
 MAX_LEN = 1024
@@ -49,7 +49,7 @@ def pieces(
 
     @trimmed
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = IdEncoder(tokenizer)
+        encoder = id_encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         step = 4 * max_len
         for batch in batches:

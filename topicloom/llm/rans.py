@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicloom.llm.common import ddl, text_of, trimmed
-from topicloom.llm.tokens import IdEncoder, load
+from topicloom.llm.tokens import id_encoder, load
 from topicloom.session import materialize
 
 PRECISION = 20
@@ -220,7 +220,7 @@ def encode_documents(
     @trimmed
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if load(tokenizer).get_vocab_size() <= 1 << 16 else 4
-        encoder = IdEncoder(tokenizer, width)
+        encoder = id_encoder(tokenizer, width)
         end = end_id.to_bytes(width, "little")
         for batch in batches:
             ids = [e + end for e in encoder.encode_all(batch.column(1))]

@@ -13,6 +13,7 @@ import os
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -37,7 +38,7 @@ _SPACED = (
 _PATTERN = re.compile(r"\s*\S+|\s+")
 
 # Bytes of text that are cut at a time, and the longest chunk that is remembered.
-PORTION = 1 << 19
+PORTION = 4 << 20
 LONGEST = 64
 
 
@@ -138,7 +139,7 @@ class ChunkEncoder:
         value: Callable[[list[int]], Any],
         join: Callable[[Iterable[Any]], Any],
         fixed: dict[str, Any] | None = None,
-        capacity: int = 200_000,
+        capacity: int = 400_000,
     ):
         self.tokenizer = load(path)
         self.keep_spaces = keeps_spaces(self.tokenizer)
@@ -220,3 +221,9 @@ class IdCounter(ChunkEncoder):
                 counts[row] = value
             out.append(counts)
         return np.concatenate(out)
+
+
+@lru_cache(maxsize=1)
+def id_encoder(path: str, width: int = 4) -> IdEncoder:
+    """The worker's encoder: what one task has met, the next one knows."""
+    return IdEncoder(path, width)

@@ -124,8 +124,9 @@ def equal_run(mine: list[int], theirs: list[int], at: int, low: int, place: int)
 
 
 def _row_id(key: str) -> Column:
-    """Order and identity of a document: its key, then its text's hash."""
-    return F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("hash"))
+    """Order and identity of a document: its key, then its text's hash, which only
+    has to tell rows of one key apart."""
+    return F.struct(F.col(key).alias("key"), F.hash("text").alias("hash"))
 
 
 def repeated_runs(
@@ -159,7 +160,7 @@ def repeated_runs(
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    id_kind = f"struct<key:{kind},hash:bigint>"
+    id_kind = f"struct<key:{kind},hash:int>"
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key), text_of(text).alias("text"))
     lined = materialize(
         rows.select(_row_id(key).alias("id"), "text")
@@ -268,7 +269,7 @@ def dedup_lines(
     rows = docs.select(F.struct("*").alias("row"), text_of(text).alias("run_text"))
     joined = rows.join(
         runs,
-        (F.col(f"row.`{key}`") == F.col("run_key")) & (F.xxhash64("run_text") == F.col("run_hash")),
+        (F.col(f"row.`{key}`") == F.col("run_key")) & (F.hash("run_text") == F.col("run_hash")),
         "left",
     )
     without = F.arrow_udf(_without, "struct<text:string,n_lines:long,n_words:long>")

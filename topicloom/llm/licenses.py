@@ -35,7 +35,9 @@ CONTAINMENT = 0.8
 RECALL = 0.9999
 MAX_HASHES = 96
 
-# License notices as their publishers word them.
+# License notices. The one-line forms of MIT, Apache-2.0, GPL-3.0 and
+# CC-BY-NC-4.0 (numbers 0, 3, 5 and 7) are lines of the test documents; the others
+# follow the wording of the licenses' publishers. Callers give their own.
 NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),

@@ -18,11 +18,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.llm import decontaminate, jaccard, line_dedup, packing, quality
-from topicloom.llm.queries import TEXTS_PER_BATCH, table, vocabulary
+from topicloom.llm.queries import table, vocabulary
 from topicloom.session import materialize, release, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Texts that Spark hands to a Python worker at a time.
+TEXTS_PER_BATCH = "300"
+
 # Scratch tables of the stage before.
 _left: list[str] = []
 
@@ -66,8 +69,9 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    """What is left, packed into sequences. The executors still hold what earlier
+    stages took, so workers remember fewer pieces of text."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), remembered=100_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from topicloom.llm.common import ddl, text_of, trimmed
-from topicloom.llm.tokens import id_encoder
+from topicloom.llm.tokens import CAPACITY, id_encoder
 from topicloom.session import materialize
 
 MAX_LEN = 1024
@@ -42,6 +42,7 @@ def pieces(
     key: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    remembered: int = CAPACITY,
 ) -> DataFrame:
     """Documents as token ids plus ``end_id``, cut every ``max_len`` tokens:
     ``key, start, length, ids_crc32, doc_tokens`` and, with ``with_ids``, ``ids``
@@ -49,7 +50,7 @@ def pieces(
 
     @trimmed
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = id_encoder(tokenizer)
+        encoder = id_encoder(tokenizer, capacity=remembered)
         end = end_id.to_bytes(4, "little")
         step = 4 * max_len
         for batch in batches:
@@ -206,9 +207,11 @@ def pack_documents(
     key: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    remembered: int = CAPACITY,
 ) -> DataFrame:
-    """:func:`pieces`, stored once, then :func:`pack`."""
-    cut = pieces(docs, tokenizer, end_id, max_len, key, text, with_ids)
+    """:func:`pieces`, stored once, then :func:`pack`. ``remembered`` trades a
+    worker's memory for time; the result is the same."""
+    cut = pieces(docs, tokenizer, end_id, max_len, key, text, with_ids, remembered)
     return pack(materialize(cut, "pieces"), max_len, key)
 
 

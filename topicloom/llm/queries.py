@@ -30,34 +30,38 @@ def vocabulary(name: str) -> str:
 TEXTS_PER_BATCH = "1000"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    return table(spark, sf_dir, "documents")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
-    rans.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    rans.write_tokens(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"))
     return rans.read_tokens(spark, path)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return token_counts.token_counts(docs, vocabulary("word_bpe_49k.json"))
 
 
 def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    return katz.katz_scores(table(spark, sf_dir, "documents"), train)
+    return katz.katz_scores(documents(spark, sf_dir), train)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     found = decontaminate.overlaps(docs, items)
     hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return found.select(
@@ -72,19 +76,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(documents(spark, sf_dir))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_join(documents(spark, sf_dir))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
     return found.select(
         "row.doc_id",
         F.col("cleaned.n_lines").alias("n_removed_lines"),

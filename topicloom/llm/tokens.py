@@ -40,6 +40,8 @@ _PATTERN = re.compile(r"\s*\S+|\s+")
 # Bytes of text that are cut at a time, and the longest chunk that is remembered.
 PORTION = 4 << 20
 LONGEST = 64
+# Chunks of a generation that a worker remembers: some 200 bytes each, twice.
+CAPACITY = 400_000
 
 
 def load(path: str):
@@ -139,7 +141,7 @@ class ChunkEncoder:
         value: Callable[[list[int]], Any],
         join: Callable[[Iterable[Any]], Any],
         fixed: dict[str, Any] | None = None,
-        capacity: int = 400_000,
+        capacity: int = CAPACITY,
     ):
         self.tokenizer = load(path)
         self.keep_spaces = keeps_spaces(self.tokenizer)
@@ -187,9 +189,11 @@ class ChunkEncoder:
 class IdEncoder(ChunkEncoder):
     """Ids of texts as little-endian unsigned integers of ``width`` (2 or 4) bytes."""
 
-    def __init__(self, path: str, width: int = 4):
+    def __init__(self, path: str, width: int = 4, capacity: int = CAPACITY):
         letter = {2: "H", 4: "I"}[width]
-        super().__init__(path, lambda ids: struct.pack(f"<{len(ids)}{letter}", *ids), b"".join)
+        super().__init__(
+            path, lambda ids: struct.pack(f"<{len(ids)}{letter}", *ids), b"".join, None, capacity
+        )
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         for part in portions(texts):
@@ -224,6 +228,6 @@ class IdCounter(ChunkEncoder):
 
 
 @lru_cache(maxsize=1)
-def id_encoder(path: str, width: int = 4) -> IdEncoder:
+def id_encoder(path: str, width: int = 4, capacity: int = CAPACITY) -> IdEncoder:
     """The worker's encoder: what one task has met, the next one knows."""
-    return IdEncoder(path, width)
+    return IdEncoder(path, width, capacity)

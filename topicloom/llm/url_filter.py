@@ -13,11 +13,11 @@ what they leave. A url is blocked when its log-odds reach ``LEAST_ODDS``.
 
 Nothing of the model is broadcast: words of host labels meet the word counts by a
 join on the distinct substrings of the distinct labels, and pages meet the word
-scores by a join on words. Verdicts are made once for each distinct url.
+scores by a join on words. Each distinct host and each path's words are scored once.
 
-Null urls, and those without ``://``, have an empty host and path. A
-url without known words is allowed. Rows that repeat a
-page are judged each. Other columns are not needed and left out.
+Null urls, and those without ``://``, have an empty host and path. A url
+without known words is allowed. Rows that repeat a page are judged each. Other
+columns are not needed and left out.
 """
 
 from __future__ import annotations

@@ -209,6 +209,44 @@ def test_later_runs_go(spark):
     assert set(kept) == {0, 1, 3, 4} and kept[4] is None
 
 
+def test_repeats_meet_a_place_that_holds_them(spark):
+    # A has each 20 words of the passage, but not the passage; B and C have all of it.
+    line = [" ".join(f"w{i}x{j}" for j in range(22)) + "." for i in range(4)]
+    part = [line[i] + f" between {i} stands something else." for i in range(4)]
+    whole = " ".join(line[:2])
+    texts = [" ".join(part), "One head. " + whole + " One tail.", "Other head. " + whole + " Other tail."]
+    # The short line after a window of the first place is in the second place only.
+    long = " ".join(f"v{j}" for j in range(45)) + "."
+    texts += [long + " Unlike that.", "A " + long + " And so on.", long + " And so on.", long + " And so on. End."]
+    # Every line one more time, in one text.
+    texts += [" ".join(["Again and again and again."] * 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r.cleaned.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[i] for i in (0, 1, 3, 4)] == [texts[i] for i in (0, 1, 3, 4)]
+    assert got[2] == "Other head. Other tail."
+    assert got[5] == "And so on." and got[6] == "End."
+    assert got[7].strip() == "Again and again and again."
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=24), min_size=2, max_size=2), st.lists(st.integers(1, 30), min_size=6, max_size=6))
+def test_windows_cover_every_repeated_run(lines, words):
+    hashes = [np.array(x, np.uint64) for x in lines]
+    counts = [np.array([words[i] for i in x], np.int64) for x in lines]
+    prints = [{h for h, *_ in line_dedup.fingerprints(h, w, 20, 40)} for h, w in zip(hashes, counts, strict=True)]
+    shared = np.array(sorted(prints[0] & prints[1]), np.uint64)
+    found = []
+    for h, w in zip(hashes, counts, strict=True):
+        windows = line_dedup.windows_of(h, w, 40)
+        met = line_dedup.with_gram(h, w, 20, shared, *windows[1:])
+        found.append([(x, a, b) for x, a, b in zip(*(c[met].tolist() for c in windows), strict=True)])
+    earlier = {x for x, *_ in found[0]}
+    gone = {i for x, a, b in found[1] if x in earlier for i in range(a, b)}
+    runs = lambda x: {(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if sum(words[i] for i in x[a:b]) >= 40}
+    have = {tuple(lines[0][a:b]) for a, b in runs(lines[0])}
+    assert gone == {i for a, b in runs(lines[1]) if tuple(lines[1][a:b]) in have for i in range(a, b)}
+
+
 def test_words_of_a_host():
     found = [(0, 5, 100), (5, 6, 50), (0, 3, 5)]
     assert url_filter.best_cut("stonegarden", found, 1000) == ["stone", "garden"]

@@ -3,23 +3,26 @@
 Lines are what stands between line breaks, cut once more after the end of a
 sentence, so that a passage inside a paragraph is a run of lines too. The gram of
 a line is the shortest run of lines from it on with ``gram_words`` words or more.
-For every line, the window is the shortest run from it on with ``min_words`` words
-or more; of the grams within it, one with the least hash is selected as a
-fingerprint (the one selected last, as long as no lesser hash comes in, so that
+Windows are the shortest runs with ``min_words`` words or more, those from a line
+on and those up to a line: every line of a longer run lies in a window within it.
+Of the grams within a window from a line on, one with the least hash is selected as
+a fingerprint (the one selected last, as long as no lesser hash comes in, so that
 a text that repeats itself has few). The least hash in a window depends on its own
 lines alone, so two places that share a run of ``min_words`` words share a
 fingerprint's hash in it: the guarantee of winnowing.
 
-Fingerprints are joined by their hash with the first place of all that have it,
-in the order of key and line; so a fingerprint that a third of all documents have
-gives one row for each, not pairs. From there the match with that first place is
-extended line by line both ways, by ``min_words`` words at most: if it went
-further, the next window has a fingerprint of its own. Matches with the same
-document at the same distance that meet are one run, and a run of ``min_words``
-words or more is deleted. First places are never deleted on their own account.
-
-Lines are compared by 64-bit hashes, without the white space around them. Null and
-empty texts have no lines and stay as they are. Rows that repeat a key are one
+Fingerprints only tell which windows can be in more than one document: those that
+hold a gram whose hash is a fingerprint of several. These windows meet the first
+document of all that have the same window, in the order of key, by a hash of all
+their lines; so every repeated window meets a document that really holds it,
+whatever documents share a part of it, and a window that a third of all documents
+have gives one row for each, not pairs. A document's own windows are compared where
+it is read. What lies in a window that begins at an earlier place, too, is deleted:
+these are all runs of ``min_words`` words or more that are repeated. First places
+are never deleted on their own account.
+
+Lines and windows are compared by 64-bit hashes, without the white space around
+lines. Null and empty texts have no lines and stay as they are. Rows that repeat a key are one
 after the other in the order of their texts' hashes; rows equal in key and text
 are one document, and stay or change together. Rows without a key are left alone.
 """
@@ -27,7 +30,6 @@ are one document, and stay or change together. Rows without a key are left alone
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -66,29 +68,35 @@ def hashed_lines(text: bytes) -> tuple[list[int], list[int], list[int]]:
     return hashes, words, numbers
 
 
-def gram_hashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the lines from each one on to its end (exclusive)."""
-    n = len(hashes)
-    rising = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
-    falling = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * rising)])
-    return mix((sums[ends] - sums[:-1]) * falling) + (ends - np.arange(n)).astype(np.uint64)
+class Runs:
+    """Hashes of runs of lines, from ``starts`` to ``stops`` (exclusive)."""
 
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        rising = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+        self.falling = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * rising)])
 
-def fingerprints(
-    hashes: np.ndarray, words: np.ndarray, gram_words: int, min_words: int
-) -> list[tuple[int, int, int, int]]:
-    """``(hash, line, back, ahead)`` of the selected grams: an extension may go
-    that many lines back from the line, and end that many after it."""
-    n = len(hashes)
+    def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        sums = (self.sums[stops] - self.sums[starts]) * self.falling[starts]
+        return mix(sums) + (stops - starts).astype(np.uint64)
+
+
+def _ends(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words before each line, and the line after the last of the shortest run from
+    each line on with ``least`` words; beyond all lines if there is none."""
     before = np.concatenate([[0], np.cumsum(words)])
-    # The line after the last of each gram and window; beyond n if there is none.
-    gram_end = np.searchsorted(before, before[:-1] + gram_words)
-    window_end = np.searchsorted(before, before[:-1] + min_words)
+    return before, np.searchsorted(before, before[:-1] + least)
+
+
+def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int, min_words: int) -> list[tuple[int, int]]:
+    """``(hash, line)`` of the selected grams."""
+    n = len(hashes)
+    gram_end, window_end = _ends(words, gram_words)[1], _ends(words, min_words)[1]
     windows = int(np.count_nonzero(window_end <= n))
     if not windows:
         return []
-    grams = gram_hashes(hashes, np.minimum(gram_end, n)).tolist()
+    grams = Runs(hashes).hashes(np.arange(n), np.minimum(gram_end, n)).tolist()
     last = (np.searchsorted(gram_end, window_end[:windows], "right") - 1).tolist()
     chosen, best, tried = [], -1, -1
     for start, stop in enumerate(last):
@@ -104,23 +112,56 @@ def fingerprints(
         tried = max(tried, stop)
         if not chosen or chosen[-1] != best:
             chosen.append(best)
-    at = np.array(sorted(set(chosen)))
-    back = at - (np.searchsorted(before, np.maximum(0, before[at] - min_words), "right") - 1)
-    ahead = np.minimum(n, np.searchsorted(before, before[gram_end[at]] + min_words)) - at
-    return list(zip([grams[i] for i in at.tolist()], at.tolist(), back.tolist(), ahead.tolist(), strict=True))
+    return [(grams[i], i) for i in sorted(set(chosen))]
+
+
+def windows_of(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and stop of each window: the shortest runs from a line on, then
+    those up to a line that are not among them."""
+    n = len(hashes)
+    before, ends = _ends(words, min_words)
+    starts = np.flatnonzero(ends <= n)
+    stops = np.flatnonzero(before >= min_words)
+    froms = np.searchsorted(before, before[stops] - min_words, "right") - 1
+    other = ends[froms] != stops
+    starts, stops = np.concatenate([starts, froms[other]]), np.concatenate([ends[starts], stops[other]])
+    return Runs(hashes).hashes(starts, stops), starts, stops
+
+
+def firsts_and_repeats(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a document are the first of their hash in it, and which
+    are not."""
+    order = np.lexsort((starts, hashes))
+    ordered = hashes[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    return order[first], order[~first]
+
+
+def with_gram(hashes: np.ndarray, words: np.ndarray, gram_words: int, shared: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether one of the ``shared`` grams lies in each window."""
+    n = len(hashes)
+    gram_end = _ends(words, gram_words)[1]
+    grams = Runs(hashes).hashes(np.arange(n), np.minimum(gram_end, n))
+    held = np.concatenate([[0], np.cumsum(np.isin(grams, shared) & (gram_end <= n))])
+    # Grams of a window start before the first whose end is beyond it.
+    return held[np.searchsorted(gram_end, stops, "right")] > held[starts]
+
+
+def places(numbers: list[int] | None, n: int, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop of runs among all lines, and the next line with words."""
+    number = np.arange(n + 1) if numbers is None else np.array([*numbers, numbers[-1] + 1])
+    return number[starts], number[stops - 1] + 1, number[stops]
 
 
-def equal_run(mine: list[int], theirs: list[int], at: int, low: int, place: int) -> tuple[int, int]:
-    """The lines around ``place`` that are equal; ``theirs`` begins at line ``low``
-    of the earlier document, whose line ``at`` is the place's match."""
-    shift = place - at
-    first = last = place
-    while first > 0 and first - 1 - shift >= low and mine[first - 1] == theirs[first - 1 - shift - low]:
-        first -= 1
-    end = low + len(theirs)
-    while last < len(mine) and last - shift < end and mine[last] == theirs[last - shift - low]:
-        last += 1
-    return first, last
+def joined(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs ``(start, stop, next)`` that overlap or meet as one."""
+    out: list[tuple[int, int, int]] = []
+    for start, stop, following in sorted(spans):
+        if out and start <= out[-1][2]:
+            start, stop, following = out[-1][0], max(stop, out[-1][1]), max(following, out[-1][2])
+            out.pop()
+        out.append((start, stop, following))
+    return out
 
 
 def _row_id(key: str) -> Column:
@@ -138,102 +179,98 @@ def repeated_runs(
 ) -> DataFrame:
     """``id (key, hash), spans``: for each document with repeats, the deleted runs
     of lines, numbered among all its lines, stop exclusive."""
-    fields = ("grams", "places", "backs", "aheads")
+    kind = docs.schema[key].dataType.simpleString()
+    id_kind = f"struct<key:{kind},hash:int>"
+    span = pa.struct([(c, pa.int32()) for c in ("start", "stop", "next")])
 
     @trimmed
     def fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"lines": pa.int64(), "words": pa.int32(), "numbers": pa.int32(), "grams": pa.int64(), "repeats": span}
         for batch in slices(batches):
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in kinds]
             for value in byte_column(batch, "text"):
                 hashes, words, numbers = hashed_lines(value)
-                lines = np.array(hashes, np.uint64)
-                found = fingerprints(lines, np.array(words, np.int64), gram_words, min_words)
-                grams, *places = zip(*found, strict=True) if found else [()] * 4
+                lines, counts = np.array(hashes, np.uint64), np.array(words, np.int64)
                 # The numbers are left out where every line has words.
-                row = (lines.view(np.int64), words, numbers if numbers and numbers[-1] >= len(numbers) else None)
-                for column, values in zip(columns, (*row, np.array(grams, np.uint64).view(np.int64), *places), strict=True):
+                numbers = numbers if numbers and numbers[-1] >= len(numbers) else None
+                grams = {h for h, _ in fingerprints(lines, counts, gram_words, min_words)}
+                repeats = []
+                if grams:
+                    found, starts, stops = windows_of(lines, counts, min_words)
+                    again = firsts_and_repeats(found, starts)[1]
+                    own = places(numbers, len(lines), starts[again], stops[again])
+                    repeats = [dict(zip(("start", "stop", "next"), s, strict=True)) for s in joined(zip(*(c.tolist() for c in own), strict=True))]
+                row = (lines.view(np.int64), words, numbers, np.array(list(grams), np.uint64).view(np.int64), repeats)
+                for column, values in zip(columns, row, strict=True):
                     column.append(values)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True))],
-                names=["id", "lines", "words", "numbers", *fields],
+                [batch.column(0), *(pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds.values(), strict=True))],
+                names=["id", *kinds],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
-    id_kind = f"struct<key:{kind},hash:int>"
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key), text_of(text).alias("text"))
     lined = materialize(
         rows.select(_row_id(key).alias("id"), "text")
         .mapInArrow(
             fingerprint,
             f"id {id_kind}, lines array<bigint>, words array<int>, numbers array<int>, "
-            "grams array<bigint>, places array<int>, backs array<int>, aheads array<int>",
+            "grams array<bigint>, repeats array<struct<start:int,stop:int,next:int>>",
         )
         .where(F.size("grams") > 0),
         "lines",
     )
-    prints = lined.select("id", F.explode(F.arrays_zip(*fields)).alias("p")).select(
-        F.col("p.grams").alias("gram"),
-        F.struct(
-            F.col("id"), F.col("p.places").alias("place"), F.col("p.backs").alias("back"), F.col("p.aheads").alias("ahead")
-        ).alias("at"),
-    )
-    first = prints.groupBy("gram").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
-    matches = (
-        prints.select("gram", "at.id", "at.place")
-        .join(first.select("gram", "first"), "gram")
-        .where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
-        .select(
-            "id",
-            "place",
-            F.col("first.id").alias("earlier"),
-            F.col("first.place").alias("at"),
-            (F.col("first.place") - F.col("first.back")).alias("low"),
-            (F.col("first.back") + F.col("first.ahead")).alias("size"),
-        )
+    prints = lined.select("id", F.explode("grams").alias("gram"))
+    ends = [f(f"id.{c}").alias(f"{n}_{c}") for c in ("key", "hash") for f, n in ((F.min, "low"), (F.max, "high"))]
+    several = prints.groupBy("gram").agg(*ends).where("low_key < high_key or low_hash < high_hash").select("gram")
+    shared = prints.join(several, "gram").groupBy("id").agg(F.collect_list("gram").alias("shared"))
+
+    @trimmed
+    def unfold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at, columns = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
+            values = (batch.column(c).to_pylist() for c in ("lines", "words", "numbers", "shared"))
+            for i, (lines, words, numbers, grams) in enumerate(zip(*values, strict=True)):
+                hashes, counts = np.array(lines, np.int64).view(np.uint64), np.array(words, np.int64)
+                found, starts, stops = windows_of(hashes, counts, min_words)
+                met = with_gram(hashes, counts, gram_words, np.array(grams, np.int64).view(np.uint64), starts, stops)
+                found, starts, stops = found[met], starts[met], stops[met]
+                first = firsts_and_repeats(found, starts)[0] if len(found) else np.zeros(0, np.int64)
+                own = places(numbers, len(lines), starts[first], stops[first])
+                at.append(np.full(len(first), i))
+                for column, part in zip(columns, (found[first].view(np.int64), *own), strict=True):
+                    column.append(part)
+            window, *spots = (np.concatenate(c) for c in columns)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(np.concatenate(at))), pa.array(window), *(pa.array(c.astype(np.int32)) for c in spots)],
+                names=["id", "window", "start", "stop", "next"],
+            )
+
+    windows = materialize(
+        shared.join(lined.select("id", "lines", "words", "numbers"), "id").mapInArrow(
+            unfold, f"id {id_kind}, window bigint, start int, stop int, next int"
+        ),
+        "windows",
     )
-    # Rows equal in key and text count once from here on.
-    once = lined.select("id", "lines", "words", "numbers").dropDuplicates(["id"])
-    theirs = once.select(F.col("id").alias("earlier"), "lines")
-    # Of the earlier document only the lines that can be met are passed on. A
-    # document has fewer matches than lines.
-    met = (
-        matches.join(theirs, "earlier")
-        .select("id", F.struct("place", "earlier", "at", "low", F.slice("lines", F.col("low") + 1, F.col("size")).alias("lines")).alias("m"))
-        .groupBy("id")
-        .agg(F.collect_list("m").alias("matches"))
+    first = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    later = windows.join(first.select("window", "first"), "window").where("id <> first")
+    repeats = later.select("id", F.struct("start", "stop", "next").alias("s")).unionByName(
+        lined.select("id", F.explode("repeats").alias("s"))
     )
 
     @trimmed
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            values = (batch.column(c).to_pylist() for c in ("matches", "lines", "words", "numbers"))
-            for found, lines, words, numbers in zip(*values, strict=True):
-                before = [0, *np.cumsum(words).tolist()]
-                runs = defaultdict(set)
-                for m in found:
-                    source = (*m["earlier"].values(), m["place"] - m["at"])
-                    runs[source].add(equal_run(lines, m["lines"], m["at"], m["low"], m["place"]))
-                spans = set()
-                for parts in runs.values():
-                    start = stop = -1
-                    for a, b in [*sorted(parts), (len(lines) + 1,) * 2]:
-                        if a <= stop:
-                            stop = max(stop, b)
-                            continue
-                        if start >= 0 and before[stop] - before[start] >= min_words:
-                            spans.add((start, stop))
-                        start, stop = a, b
-                number = numbers or range(len(lines))
-                out.append([{"start": number[a], "stop": number[b - 1] + 1} for a, b in sorted(spans)])
+    def join_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [
+                [{"start": a, "stop": b} for a, b, _ in joined(tuple(s.values()) for s in spans)]
+                for spans in batch.column("spans").to_pylist()
+            ]
             spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, spans_kind)], names=["id", "spans"])
 
     return (
-        met.join(once, "id")
-        .mapInArrow(compare, f"id {id_kind}, spans array<struct<start:long,stop:long>>")
-        .where(F.size("spans") > 0)
+        repeats.groupBy("id")
+        .agg(F.collect_list("s").alias("spans"))
+        .mapInArrow(join_spans, f"id {id_kind}, spans array<struct<start:long,stop:long>>")
     )
 
 

@@ -108,6 +108,14 @@ def test_spans_are_cut_out():
     assert decontaminate.without_spans(text, [(0, 8)]) == ""
 
 
+def test_short_items_are_cut_out(spark):
+    items = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "Zanzibar"), (3, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
+    texts = ["Some of these ask who wrote Faust, and others do not.", "zanzibar is far away", "Zanzibar", "no item", "x " * 12 + " ".join(f"w{i}" for i in range(10)) + " y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {0: "Some of these ask and others do not.", 1: "is far away", 3: texts[3], 4: "x " * 12 + "y"}
+
+
 def test_exact_binomial_bound():
     # No rejection among n: (1 - rate) ** n.
     assert quality.tail(0, 100, 0.02) == pytest.approx(0.98**100)

@@ -33,7 +33,7 @@ WINDOW = 10
 BLOCK_WORDS = 200_000
 PIECE_WORDS = 4_096
 # A document with more than this share of its words hit is dropped as a whole;
-# else spans of at least MIN_SPAN words are cut out.
+# else its spans are cut out.
 MAX_COVERAGE = 0.5
 
 _FOUND = "struct<n_words:long,spans:array<struct<start:long,stop:long>>,items:array<string>>"
@@ -308,14 +308,16 @@ def decontaminate(
     text: str = "text",
     **names: str,
 ) -> DataFrame:
-    """The documents, cleaned: hit spans of ``min_span`` words or more are cut out;
-    a document with more than ``max_coverage`` of
+    """The documents, cleaned: hit spans of ``min_span`` words or more are cut out,
+    and those of fewer than ``window`` words, which are whole items, whatever their
+    length; a document with more than ``max_coverage`` of
     its words hit is left out. Documents without a hit stay as they are."""
     scanned = overlaps(docs, benchmark, window, text, **names)
-    long = F.filter("found.spans", lambda s: s["stop"] - s["start"] >= min_span)
+    size = lambda s: s["stop"] - s["start"]
+    cut = F.filter("found.spans", lambda s: (size(s) >= min_span) | (size(s) < window))
     hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     kept = scanned.where(hit <= F.lit(max_coverage) * F.col("found.n_words"))
     cut_out = F.arrow_udf(_cut_out_lists, "string")
-    cleaned = F.when(F.size(long) == 0, F.col(f"row.`{text}`")).otherwise(cut_out("scan_text", long))
+    cleaned = F.when(F.size(cut) == 0, F.col(f"row.`{text}`")).otherwise(cut_out("scan_text", cut))
     columns = [cleaned.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]
     return kept.select(*columns)

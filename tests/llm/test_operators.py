@@ -261,6 +261,21 @@ def test_words_of_a_host():
     assert url_filter.best_cut("zq", [], 1000) == ["zq"]
 
 
+def test_last_labels_and_short_words_of_urls_count(spark):
+    urls = ["http://stonegarden.xxx/", "http://river.Casino:8080/a", "http://windowlight.org/qq/", "http://windowlight.org/", "http://qq.paper.org/"]
+    urls += [f"http://{h}.com/{p}/" for h in ("stonegarden", "windowlight", "paper") for p in ("en", "de")] + ["http://example.com/en/", "http://paper.net/en/"]
+    pages = spark.createDataFrame([(i, u, "stone garden window light paper river") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, block_words=[*url_filter.BLOCK_WORDS, "qq"]).collect()}
+    assert [got[i].verdict for i in range(5)] == ["block", "block", "block", "allow", "block"]
+    # In a path's middle, too; and short words are learned there.
+    got = url_filter.filter_urls(
+        spark.createDataFrame([(i, u, "x") for i, u in enumerate(["http://a.org/z/qq/1", "http://a.net/1/vv/", "http://b.net/2/vv/", "http://c.com/3/ww/"])], pages.schema),
+        rules=[("block", "net", "/1/"), ("allow", "com", "/")], block_words=["qq"],
+    )
+    got = {r.page_id: r.score for r in got.collect()}
+    assert got[0] > 0.5 and got[2] > 0.5
+
+
 @pytest.mark.parametrize(
     "clean",
     [

@@ -6,8 +6,11 @@ letters that is no known word costs more with every letter. The multinomial naiv
 Bayes model learns from what the rules decide, and from a few words that the caller
 gives as signs of what to block; it scores the words of host and path. A host, or a
 path's words, counts once, shared between the classes as its pages are, so that a
-host with many pages does not make its own name a sign. The last host label and
-words of one or two letters (language codes, say) tell no subject and are left out.
+host with many pages does not make its own name a sign. The last host label is a
+word of its own kind, and not cut; so is a path's first part of one or two letters
+(a language code, say). Last labels that the rules name are left out of what is
+learned, and such first parts if the rules name any, as they tell which rule fits
+and no subject. All of them count as signs.
 The classes are equally probable at first, as what rules decide is no sample of
 what they leave. A url is blocked when its log-odds reach ``LEAST_ODDS``.
 
@@ -23,6 +26,7 @@ columns are not needed and left out.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -54,6 +58,9 @@ LEAST_ODDS = 2.0
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
+# A path's first part of one or two letters.
+_CODE = r"^/(\p{L}{1,2})(?=/|$)"
+
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path."""
@@ -157,8 +164,18 @@ def segment(parts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _path_words(path: str) -> Column:
-    """Lower-cased runs of three or more letters."""
-    return F.filter(F.split(F.lower(F.col(path)), r"[^\p{L}]+"), lambda w: F.length(w) > 2)
+    """Lower-cased runs of letters; ``^`` stands before a first part of one or two."""
+    lowered = F.lower(F.col(path))
+    code = F.regexp_extract(lowered, _CODE, 1)
+    rest = F.split(F.regexp_replace(lowered, _CODE, ""), r"[^\p{L}]+")
+    return F.filter(F.concat(F.array(F.when(code != "", F.concat(F.lit("^"), code)).otherwise("")), rest), lambda w: w != "")
+
+
+def rules_name(rules: Sequence[tuple[str, str, str]], word: str) -> Column:
+    """Whether a word of the model is one that the rules, not the subject, decide by."""
+    last = F.col(word).isin(sorted({f"last {host.rsplit('.', 1)[-1]}" for _, host, _ in rules}))
+    codes = any(re.match(r"/[^\W\d_]{1,2}(/|$)", path) for *_, path in rules)
+    return last | (F.lit(codes) & F.col(word).startswith("first "))
 
 
 def filter_urls(
@@ -183,14 +200,21 @@ def filter_urls(
     patterns = materialize(parsed.groupBy("pattern").agg(allows, blocks), "patterns")
 
     labels = F.regexp_replace("host", r"\.[^.]*$", "")
-    runs = hosts.select("host", F.explode(F.split(labels, r"[^\p{L}]+")).alias("part")).where("length(part) > 2")
+    runs = hosts.select("host", F.explode(F.split(labels, r"[^\p{L}]+")).alias("part")).where("part <> ''")
     cut = segment(runs.select("part").distinct(), counts)
+    last = F.regexp_extract("host", r"\.([^.:@]+)(:[^.:@]*)?$", 1)
+    last_words = (
+        hosts.select("host", last.alias("word"))
+        .where(F.col("word").rlike(r"\p{L}"))
+        .select("host", F.concat(F.lit("last "), "word").alias("word"), F.lit(1).cast("long").alias("times"))
+    )
     host_words = materialize(
         runs.join(cut, "part")
         .select("host", F.explode("words").alias("word"))
         .groupBy("host", "word")
         .agg(F.count("*").alias("times"))
-        .select("host", F.concat(F.lit("host "), "word").alias("word"), "times"),
+        .select("host", F.concat(F.lit("host "), "word").alias("word"), "times")
+        .unionByName(last_words),
         "host-words",
     )
     path_words = (
@@ -198,17 +222,17 @@ def filter_urls(
         .where("word <> ''")
         .groupBy("pattern", "word")
         .agg(F.count("*").alias("times"))
-        .select("pattern", F.concat(F.lit("path "), "word").alias("word"), "times")
+        .select("pattern", F.regexp_replace(F.concat(F.lit("path "), "word"), r"^path \^", "first ").alias("word"), "times")
     )
 
     def learned(words: DataFrame, of: DataFrame, by: str) -> DataFrame:
         decided = of.where("a + b > 0")
-        return words.join(decided, by).select(
+        return words.where(~rules_name(rules, "word")).join(decided, by).select(
             "word", *[(F.col(c) / (F.col("a") + F.col("b")) * F.col("times")).alias(c) for c in ("a", "b")]
         )
 
     signs = spark.createDataFrame(
-        [(f"{place} {w}", 0.0, float(BLOCK_WEIGHT)) for w in block_words for place in ("host", "path")],
+        [(f"{place} {w}", 0.0, float(BLOCK_WEIGHT)) for w in block_words for place in ("host", "last", "first", "path")],
         "word string, a double, b double",
     )
     seen = materialize(

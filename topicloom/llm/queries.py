@@ -16,6 +16,7 @@ from topicloom.llm import (
     rans,
     token_counts,
     url_filter,
+    whitening,
 )
 from topicloom.session import scratch_path
 
@@ -101,6 +102,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
@@ -112,5 +117,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
 }
 ORACLES: dict[str, str] = {}

@@ -85,6 +85,14 @@ def corpus(tmp_path_factory):
                 [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])}),
             path / "pages.parquet",
         )
+        vectors = [(i, [((i * 7 + j * 3) % 11 - 5) / 20.0 for j in range(8)], i % 3) for i in range(40)] if full else []
+        vectors += [(40, None, 0), (41, [0.1, None] + [0.0] * 6, 1), (42, [float("nan")] * 8, 2), (3, vectors[3][1], 0)] if full else []
+        pq.write_table(
+            pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()),
+                      "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())),
+                      "label": pa.array([v[2] for v in vectors], pa.int32())}),
+            path / "embeddings.parquet",
+        )
         out[name] = str(path)
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.llm import (
     byte_bpe,
     decontaminate,
+    fim,
     jaccard,
     katz,
     licenses,
@@ -120,6 +121,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
@@ -133,5 +138,6 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_whitening": op11_whitening,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {}

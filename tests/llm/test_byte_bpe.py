@@ -55,3 +55,10 @@ def test_split_characters_decode_in_pieces():
 def test_byte_table_is_a_bijection():
     table = byte_bpe.byte_table()
     assert len(set(table)) == 256 and table[ord("a")] == "a" and table[32] == chr(256 + 32)
+
+
+def test_both_paths_give_the_same_ids(spark, corpus):
+    df = spark.read.parquet(f"{corpus['full']}/documents.parquet")
+    fast = {(r[0], r[1]) for r in byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()}
+    whole = {(r[0], r[1]) for r in byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN, with_offsets=True).collect()}
+    assert fast == whole

@@ -6,8 +6,10 @@ printable characters by the byte table below, every token of two or more bytes
 gives the merges of its splits into two tokens, ordered by the rank of the token
 made, and a token that a piece equals is taken whole (as tiktoken does). Texts
 are split by the given pattern, each match encoded separately, without special
-tokens. Texts go to the library an Arrow batch at a time; besides ids it gives
-each token's offsets in code points. Decoding reverses the byte table: the
+tokens. Without offsets, the pattern's matches of an Arrow batch are found in the
+task (the ``regex`` module) and each distinct word goes once to the library's
+model; with offsets, the texts of a batch go to the library whole, which then
+also gives each token's offsets in code points. Both give the same ids. Decoding reverses the byte table: the
 bytes of the ids are joined first, so that a character split between tokens is
 whole again; ``decode_text`` decodes such bytes as UTF-8 incrementally, so a
 stream of ids may end inside a character and go on in the next piece.
@@ -126,6 +128,46 @@ def decode_text(pieces: Iterable[np.ndarray], path: str) -> Iterator[str]:
     yield decoder.decode(b"", final=True)
 
 
+class Words:
+    """Ids without offsets: the pattern's matches, each written by the byte
+    table and given to the library's BPE model, which merges by rank; ids of
+    words met before are remembered, up to ``capacity`` words of at most
+    ``LONGEST`` characters, and forgotten all at once when full."""
+
+    LONGEST = 64
+
+    def __init__(self, tokenizer, pattern: str, capacity: int = 200_000):
+        import regex
+
+        self.model = tokenizer.model
+        self.split = regex.compile(pattern).findall
+        self.shown = {b: c for b, c in enumerate(byte_table())}
+        self.known: dict[str, list[int]] = {}
+        self.capacity = capacity
+
+    def ids(self, word: str) -> list[int]:
+        got = self.known.get(word)
+        if got is None:
+            got = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+            if len(word) <= self.LONGEST:
+                if len(self.known) >= self.capacity:
+                    self.known.clear()
+                self.known[word] = got
+        return got
+
+    def encode(self, text: str | None) -> bytes:
+        out: list[int] = []
+        for word in self.split(text or ""):
+            out += self.ids(word)
+        return np.asarray(out, dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=4)
+def worker_words(path: str, pattern: str) -> Words:
+    """A worker's ``Words``, kept between its tasks."""
+    return Words(build(path, pattern), pattern)
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -140,8 +182,15 @@ def encode(
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = build(ranks_path, pattern)
+        words = worker_words(ranks_path, pattern)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
+            if not with_offsets:
+                ids = [words.encode(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(ids, pa.large_binary())], names=["key", "ids"]
+                )
+                continue
             encoded = tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
             ids = [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
             columns = [batch.column(0), pa.array(ids, pa.large_binary())]

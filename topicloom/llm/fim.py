@@ -47,7 +47,8 @@ FIM_RATE, SPM_RATE = 50, 80  # percent
 # Code points of a piece.
 PIECE = 1 << 16
 _ID = ["key", "h", "len"]
-_EMPTY = hashlib.sha256(b"").hexdigest()
+# What each piece carries of its row, so that one exchange feeds every branch.
+_INFO = ["copies", "n", "form", "a", "b"]
 
 
 def _group(digest: str, i: int) -> Column:
@@ -93,8 +94,9 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: str = S
 
 
 def pieces(planned: DataFrame) -> DataFrame:
-    """``key, h, len, segment, start, piece, sentinel``: the output of each
-    distinct row, in pieces; (segment, start) is the output order."""
+    """``key, h, len, copies, n, form, a, b, segment, start, piece, sentinel``:
+    the output of each distinct row, in pieces; (segment, start) is the output
+    order."""
 
     def segment(kind: str, start: Column | int = 0, stop: Column | int = 0) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(start).cast("long").alias("start"), F.lit(stop).cast("long").alias("stop"))
@@ -108,9 +110,10 @@ def pieces(planned: DataFrame) -> DataFrame:
     )
 
     def cut(seg: Column, i: Column) -> Column:
+        # An empty plain text is one empty piece, so that every row has a piece.
         starts = F.when(
             seg["stop"] > seg["start"], F.sequence(seg["start"], seg["stop"] - 1, F.lit(PIECE).cast("long"))
-        ).otherwise(F.array().cast("array<long>"))
+        ).when(F.col("form") == "plain", F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
         content = F.transform(
             starts,
             lambda s: F.struct(
@@ -124,48 +127,48 @@ def pieces(planned: DataFrame) -> DataFrame:
         return F.when(seg["kind"] == "T", content).otherwise(marker)
 
     made = F.flatten(F.transform(segments, cut))
-    return planned.select(*_ID, F.explode(made).alias("p")).select(*_ID, "p.*")
+    return planned.select(*_ID, *_INFO, F.explode(made).alias("p")).select(*_ID, *_INFO, "p.*")
 
 
 def _digests(sorted_pieces: DataFrame, key_ddl: str, name: str) -> DataFrame:
-    """sha256 of the pieces of each row, in the order the partition holds them."""
+    """sha256 of the pieces of each row, in the order the partition holds them,
+    with the row's own columns: ``key, h, len, copies, n, form, a, b, name``."""
+    width = len(_ID) + len(_INFO)
 
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list = [[], [], []]
+        rows: list[tuple] = []
         digests: list[str] = []
-        current, state = None, None
-        kinds = [pa.null(), pa.int64(), pa.int32()]
+        current, state, schema = None, None, None
 
         def close() -> None:
             if state is not None:
-                for column, value in zip(keys, current, strict=True):
-                    column.append(value)
+                rows.append(current)
                 digests.append(state.hexdigest())
 
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(width)]
+            names = [*_ID, *_INFO, name]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.string())], names=names)
+
         for batch in batches:
-            kinds[0] = batch.schema.field(0).type
-            ids = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            texts = batch.column(3).to_pylist()
+            schema = batch.schema
+            ids = zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True)
+            texts = batch.column(width).to_pylist()
             for row, piece in zip(ids, texts, strict=True):
                 if row != current:
                     close()
                     current, state = row, hashlib.sha256()
                 state.update(piece.encode("utf-8", "surrogatepass"))
             if len(digests) >= 1000:
-                yield _batch(keys, digests, name, kinds)
-                keys, digests = [[], [], []], []
+                yield flush()
+                rows, digests = [], []
         close()
         if digests:
-            yield _batch(keys, digests, name, kinds)
-
-    schema = f"{key_ddl}, h long, len int, {name} string"
-    return sorted_pieces.mapInArrow(run, schema)
+            yield flush()
 
-
-def _batch(keys: list, digests: list[str], name: str, kinds: list) -> pa.RecordBatch:
-    columns = [pa.array(k, t) for k, t in zip(keys, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.string())], names=[*_ID, name])
+    info = "copies long, n long, form string, a long, b long"
+    return sorted_pieces.mapInArrow(run, f"{key_ddl}, h long, len int, {info}, {name} string")
 
 
 def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: str = SEED) -> tuple[DataFrame, DataFrame]:
@@ -204,25 +207,27 @@ def restored_order(out: DataFrame) -> DataFrame:
 def fim_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: str = SEED) -> DataFrame:
     """``key, n, form, prefix_chars, middle_chars, output_sha256,
     restored_sha256``: one row for each row of ``docs``."""
-    rows, out = fill_in_middle(docs, key, text, seed)
+    out = pieces(plan(docs, key, text, seed))
     key_ddl = ddl(docs, key, "key")
+    columns = [*_ID, *_INFO, "piece"]
     output = _digests(
-        out.sortWithinPartitions(*_ID, "segment", "start").select(*_ID, "piece"), key_ddl, "output_sha256"
+        out.sortWithinPartitions(*_ID, "segment", "start").select(*columns), key_ddl, "output_sha256"
     )
     restored = _digests(
-        restored_order(out).sortWithinPartitions(*_ID, "role", "segment", "start").select(*_ID, "piece"),
+        restored_order(out).sortWithinPartitions(*_ID, "role", "segment", "start").select(*columns),
         key_ddl,
         "restored_sha256",
     )
-    joined = _left(_left(rows, output), restored)
+    joined = _left(output, restored.select(*_ID, "restored_sha256"))
+    plain = F.col("form") == "plain"
     copies = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
     return joined.select(
         F.col("key").alias(key),
         "n",
         "form",
-        "prefix_chars",
-        "middle_chars",
-        F.coalesce("output_sha256", F.lit(_EMPTY)).alias("output_sha256"),
-        F.coalesce("restored_sha256", F.lit(_EMPTY)).alias("restored_sha256"),
+        F.when(~plain, F.col("a")).alias("prefix_chars"),
+        F.when(~plain, F.col("b") - F.col("a")).alias("middle_chars"),
+        "output_sha256",
+        "restored_sha256",
         copies.alias("_copy"),
     ).drop("_copy")

@@ -66,3 +66,15 @@ def test_long_texts_odd_keys_and_sentinels(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert fim.fim_digests(df).count() == 0
+
+
+def test_oracle_sql_agrees(spark, corpus):
+    import duckdb
+
+    from topicloom.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{corpus['full']}/documents.parquet')")
+    want = [tuple(r) for r in con.execute(ORACLES["op13_fill_in_middle"]).fetchall()]
+    got = as_rows(QUERIES["op13_fill_in_middle"](spark, corpus["full"]))
+    assert sorted(got, key=key) == sorted(want, key=key)

@@ -140,4 +140,38 @@ QUERIES = {
     "op12_byte_bpe": op12_byte_bpe,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_fill_in_middle": r"""WITH base AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+        sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+    FROM documents),
+cut AS (
+    SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        CAST(('0x' || substr(d, 1, 8)) AS UBIGINT) AS h1, CAST(('0x' || substr(d, 9, 8)) AS UBIGINT) AS h2,
+        CAST(('0x' || substr(d, 17, 8)) AS UBIGINT) AS h3, CAST(('0x' || substr(d, 25, 8)) AS UBIGINT) AS h4
+    FROM base),
+bounds AS (
+    SELECT *, len(units) AS n,
+        least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+        greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b
+    FROM cut),
+parts AS (
+    SELECT doc_id, t, n, h3, h4,
+        array_to_string(units[1:a], '') AS prefix,
+        array_to_string(units[a + 1:b], '') AS middle,
+        array_to_string(units[b + 1:n], '') AS suffix
+    FROM bounds),
+formed AS (
+    SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM parts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t
+                     WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+FROM formed""",
+}

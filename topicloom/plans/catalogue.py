@@ -24,6 +24,7 @@ from topicloom.operators import (
     features,
     layout,
     lsh,
+    nearest,
     similarity,
     vocabulary,
     weighting,
@@ -631,6 +632,13 @@ def similar_items(spark, sf):
     return near.withColumn("distance", tidy(F.col("distance")))
 
 
+@query
+def nearest_items(spark, sf):
+    """The k nearest documents of every document with a term, at any distance."""
+    near = nearest.nearest_items(weighted(spark, sf), settings.NEIGHBOURS)
+    return near.withColumn("distance", tidy(F.col("distance")))
+
+
 @query
 def term_similarity(spark, sf):
     pairs = similarity.column_similarity(table(spark, sf, "embeddings"), "embedding")

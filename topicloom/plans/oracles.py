@@ -399,6 +399,15 @@ def oracle_sql() -> dict[str, str]:
                 round(distance, 6) + 0.0 AS distance FROM (
                 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, item) AS rank
                 FROM near) WHERE rank <= {NEIGHBOURS}""",
+        "nearest_items": f"""{WEIGHTED}, near AS (
+                SELECT a.doc_id, b.doc_id AS item,
+                    round(1 - sum(a.weight * b.weight), 9) AS distance
+                FROM weights a JOIN weights b ON a.term = b.term AND a.doc_id <> b.doc_id
+                GROUP BY a.doc_id, b.doc_id)
+            SELECT doc_id, CAST(rank AS INTEGER) AS rank, item,
+                round(distance, 6) + 0.0 AS distance FROM (
+                SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, item) AS rank
+                FROM near) WHERE rank <= {NEIGHBOURS}""",
         "term_similarity": f"""WITH {VECTORS}, {MEANS}
             SELECT a.dim AS i, b.dim AS j, round(sum(a.value * b.value)
                 / sqrt(sum(a.value * a.value) * sum(b.value * b.value)), 6) + 0.0 AS similarity

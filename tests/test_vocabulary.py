@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import functions as F
 
+from topicloom.operators import ngram_counts
 from topicloom.operators import vocabulary as V
 from topicloom.operators import weighting as W
 from topicloom.plans.stages import TfidfVectorizer
@@ -91,6 +92,30 @@ def test_levelwise_counting_equals_plain_counting(spark):
     assert any(" " in r.term for r in level.collect())
 
 
+def test_counting_sends_a_row_per_distinct_term_of_a_batch(spark):
+    rows = [(i, ["a", "b", "a", None]) for i in range(500)] + [(500, None), (501, [])]
+    table = spark.createDataFrame(rows, "doc_id long, stems array<string>").coalesce(1)
+    assert sorted(map(tuple, ngram_counts.stem_tallies(table).collect())) == [
+        ("a", 1000, 500),
+        ("b", 500, 500),
+    ]
+    got = {r.term: (r.df, r.total) for r in V.frequent_terms(table, 2).collect()}
+    assert got == {
+        "a": (500, 1000), "b": (500, 500), "a b": (500, 500), "b a": (500, 500), "a b a": (500, 500)
+    }
+    assert V.frequent_terms(table, 501).count() == 0
+
+
+def test_many_known_terms_are_joined(spark, monkeypatch):
+    table = V.analyze(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), stemmer="s_strip"
+    ).select("doc_id", "words", "stems")
+    sent = sorted(V.frequent_terms(table, 4).collect())
+    monkeypatch.setattr(V, "KNOWN_TERMS", 10)
+    assert sorted(V.frequent_terms(table, 4).collect()) == sent
+    assert any(r.term.count(" ") == 2 for r in sent)
+
+
 def test_bounds_are_inclusive_and_cap_breaks_ties_by_term(spark):
     table = docs(spark, ["a", "b", "d"], ["a", "b"], ["a", "c"], ["a", "c"])
     freq = V.document_frequency(table, "stems")

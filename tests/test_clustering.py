@@ -107,6 +107,15 @@ def test_string_index_and_one_hot(spark):
     assert list(both.filter("s = 'a'").first().features) == [1.0, 0.5]
 
 
+def test_word2vec_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    rows = [(i, ["a", "b", "c", "d"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, stems array<string>")
+    assert features.fit_word2vec(df, vector_size=2, min_count=1).getNumPartitions() == 4
+    monkeypatch.setattr(features, "TOKENS_PER_PARTITION", 25)
+    assert features.fit_word2vec(df, vector_size=2, min_count=1).getNumPartitions() == 7
+    assert features.fit_word2vec(df, vector_size=2, min_count=1, partitions=1).getNumPartitions() == 1
+
+
 def test_word2vec_document_vector_is_the_mean(spark):
     rows = [(i, ["x", "y"]) for i in range(5)] + [(9, ["unseen"])]
     df = spark.createDataFrame(rows, "doc_id long, stems array<string>")

@@ -160,3 +160,23 @@ def test_no_python_outside_the_stemmer(spark):
     native = V.document_frequency(V.with_terms(V.analyze(table, stemmer="s_strip")))
     assert "Python" not in plan_of(native) and "ArrowEval" not in plan_of(native)
     assert plan_of(V.vocab_frame(V.analyze(table))).count("ArrowEvalPython") == 1
+
+
+def test_known_terms_are_the_n_grams_of_the_vocabulary(spark):
+    lists = [["a", "b", "a", "", "b", None, "c", "a"], None, [], ["b", "c"], ["x", "a", "b", "c", "a", "b", "c"]]
+    table = spark.createDataFrame(list(enumerate(lists)), "doc_id long, stems array<string>").coalesce(1)
+    terms = ["a", "a b c", "b a", " b", "c a b", "", "z y"]
+    rows = V.with_terms(table).select("terms", ngram_counts.known_terms(terms).alias("known")).collect()
+    assert all(sorted(r.known) == sorted(t for t in r.terms if t in terms) for r in rows)
+    assert sum(len(r.known) for r in rows) == 11
+
+
+def test_weights_do_not_form_the_other_n_grams(spark):
+    table = small(spark)
+    plan = plan_of(fitted(table).transform(table).select("features"))
+    assert "zip_with" not in plan and "ArrowEvalPython" in plan
+
+
+def test_longer_runs_are_counted_from_places(spark):
+    table = docs(spark, ["a", "b", "a", "b"], ["a", "b", "q"], ["r"], ["a"])
+    assert [list(r.codes) for r in ngram_counts.coded(table, ["b", "a"]).collect()] == [[1, 0, 1, 0], [1, 0, -1]]

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import functions as F
@@ -180,3 +181,67 @@ def test_weights_do_not_form_the_other_n_grams(spark):
 def test_longer_runs_are_counted_from_places(spark):
     table = docs(spark, ["a", "b", "a", "b"], ["a", "b", "q"], ["r"], ["a"])
     assert [list(r.codes) for r in ngram_counts.coded(table, ["b", "a"]).collect()] == [[1, 0, 1, 0], [1, 0, -1]]
+
+
+ODD = [
+    "Ponies' ties - s ies bus grass yes cats aes shoes", None, "", "don't -- '' _ The THE i'm",
+    "É caret] KKelvin İz naïve straße", "a\nb c\td", "zebra", "cats", "",
+]
+
+
+def odd_texts(spark):
+    return spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").coalesce(1)
+
+
+@pytest.mark.parametrize("stemmer", ["s_strip", "porter2", "none"])
+def test_words_by_batch_are_those_of_the_expressions(spark, stemmer):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for table in (odd_texts(spark), real.limit(100)):
+        for stop_words in (V.X.ENGLISH, ()):
+            plain = V.analyze(table, stemmer=stemmer, stop_words=stop_words).select("doc_id", "words", "stems")
+            batch = V.analyze_letters(table, stemmer=stemmer, stop_words=stop_words)
+            assert sorted(plain.collect()) == sorted(batch.select(plain.columns).collect())
+            lines = V.analyze_letters(table, stemmer=stemmer, stop_words=stop_words, as_lines=True)
+            split = lines.select("doc_id", V.X.line_words("words").alias("words"), V.X.line_words("stems").alias("stems"))
+            assert sorted(plain.collect()) == sorted(split.collect())
+    assert "filter(" not in plan_of(V.analyze_letters(odd_texts(spark)))
+
+
+def test_lines_count_weigh_and_name_as_arrays_do(spark, monkeypatch):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    arrays, lines = (
+        V.analyze_letters(real, stemmer="s_strip", as_lines=as_lines).select("doc_id", "words", "stems")
+        for as_lines in (False, True)
+    )
+    counted = sorted(V.frequent_terms(arrays, 4).collect())
+    assert sorted(V.frequent_terms(lines, 4).collect()) == counted
+    top = spark.createDataFrame([("cat",), *{(r.term.split(" ")[0],) for r in counted[::50]}], "stem string")
+    first = V.first_words(V.vocab_frame(arrays)).join(top.distinct(), "stem", "left_semi")
+    assert sorted(V.first_words_of(lines, top).collect()) == sorted(first.select("stem", "word").collect())
+    fit = TfidfVectorizer(minDF=0.02).fit(arrays)
+    assert sorted(W.term_weights(fit, lines).collect()) == sorted(W.term_weights(fit, arrays).collect())
+    monkeypatch.setattr(V, "KNOWN_TERMS", 10)
+    assert sorted(V.frequent_terms(lines, 4).collect()) == counted
+
+
+def test_counts_are_those_of_the_known_terms(spark):
+    lists = [["a", "b", "a", "", "b", None, "c", "a"], None, [], ["b", "c"]]
+    table = spark.createDataFrame(list(enumerate(lists)), "doc_id long, stems array<string>").coalesce(1)
+    terms = ["a", "a b", "b c", "z"]
+    rows = table.select(
+        ngram_counts.known_terms(terms).alias("t"), ngram_counts.known_counts(terms).alias("v")
+    ).collect()
+    assert [r.v.toArray().tolist() for r in rows] == [[r.t.count(t) for t in terms] for r in rows]
+    assert rows[1].v.numNonzeros() == 0
+
+
+@pytest.mark.parametrize("held", [16, 64, 4_000_000])
+def test_tallies_of_a_task_are_added_up(monkeypatch, held):
+    monkeypatch.setattr(ngram_counts, "HELD_ROWS", held)
+    parts = [(np.arange(i % 7, 20), np.full(20 - i % 7, 2), np.ones(20 - i % 7, int)) for i in range(30)]
+    found = [np.concatenate(column) for column in zip(*ngram_counts.merged(iter(parts)), strict=True)]
+    n, d = (np.bincount(found[0], found[i]).tolist() for i in (1, 2))
+    assert d == [sum(i % 7 <= code for i in range(30)) for code in range(20)]
+    assert n == [2 * v for v in d]
+    assert len(found[0]) == 20 if held > 1000 else len(found[0]) < sum(len(c) for c, *_ in parts)
+    assert list(ngram_counts.merged(iter([]))) == []

@@ -300,3 +300,41 @@ def test_counts_ignore_other_columns(spark, wide):
     assert packing.pack_documents(wide, vocabulary("byte_bpe_50k.json")).select("doc_id").distinct().count() > 50
     assert jaccard.jaccard_join(wide).count() == len(rows())
     assert licenses.license_scan(wide).count() == 1
+
+
+def test_lines_end_at_breaks_and_after_sentences():
+    text = b'One.  "Two!" \tthree?\') four."\n\n five .\t six "seven. .'
+    ended = [b"One.  ", b'"Two!" \t', b"three?\') four.\"\n", b"\n", b" five .\t ", b'six "seven. ', b"."]
+    assert line_dedup.lines_of(text) == ended
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        text = bytes(rng.choice(list(b"a. \t\n!?\")']x"), rng.integers(0, 14)).tolist())
+        lines = line_dedup.lines_of(text)
+        assert b"".join(lines) == text
+        # What a reading of the rule, byte by byte, gives.
+        plain, at = [b""], 0
+        while at < len(text):
+            before = text[:at]
+            sentence = before.endswith((b".", b"!", b"?")) or (
+                before[-1:] in (b'"', b"'", b")", b"]") and before[:-1].endswith((b".", b"!", b"?"))
+            )
+            if text[at : at + 1] == b"\n":
+                at += 1
+                plain.append(b"")
+            elif text[at] in b" \t" and sentence:
+                while at < len(text) and text[at] in b" \t":
+                    at += 1
+                plain.append(b"")
+            else:
+                plain[-1] += text[at : at + 1]
+                at += 1
+        assert line_dedup.split_lines(text) == plain and len(lines) == len(plain)
+
+
+def test_long_texts_make_their_own_powers():
+    hashes = np.arange(9_000, dtype=np.uint64)
+    starts = np.arange(4_500)
+    whole = line_dedup.Runs(hashes).hashes(starts + 4_000, starts + 4_010)
+    for at in (0, 90, 4_400):
+        part = line_dedup.Runs(hashes[4_000 + at : 4_010 + at]).hashes(np.array([0]), np.array([10]))
+        assert whole[at] == part[0]

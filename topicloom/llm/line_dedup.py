@@ -44,8 +44,10 @@ from topicloom.session import materialize
 MIN_WORDS = 40
 GRAM_WORDS = 20
 
-# A line ends at a line break, or with the white space after a sentence's end.
-_GAP = re.compile(rb"""(?:(?<=[.!?])|(?<=[.!?]["')\]]))[ \t]+|\n""")
+# A line ends at a line break, or with the white space after a sentence's end. Gaps are only
+# looked for where white space is.
+_GAP = re.compile(rb"""[ \t\n](?:(?<=\n)|(?:(?<=[.!?][ \t])|(?<=[.!?]["')\]][ \t]))[ \t]*)""")
+_SENTENCE_END = re.compile(rb"""([.!?]["')\]]?)[ \t]+""")
 # An odd number and its inverse modulo 2**64, for hashes of runs of lines.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -57,10 +59,15 @@ def lines_of(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def split_lines(text: bytes) -> list[bytes]:
+    """All lines without what ends them."""
+    return _SENTENCE_END.sub(rb"\1\n", text).split(b"\n")
+
+
 def hashed_lines(text: bytes) -> tuple[list[int], list[int], list[int]]:
     """Hash, number of words and number of each line with words."""
     hashes, words, numbers = [], [], []
-    for i, line in enumerate(_GAP.split(text)):
+    for i, line in enumerate(split_lines(text)):
         if n := len(line.split()):
             hashes.append(xxhash.xxh3_64_intdigest(line.strip()))
             words.append(n)
@@ -68,14 +75,24 @@ def hashed_lines(text: bytes) -> tuple[list[int], list[int], list[int]]:
     return hashes, words, numbers
 
 
+def _powers(base: np.uint64, n: int = 4_096) -> np.ndarray:
+    return np.cumprod(np.full(n, base, dtype=np.uint64))
+
+
+# Those that most texts need are made once.
+_RISING, _FALLING = _powers(_BASE), _powers(_INVERSE)
+
+
 class Runs:
     """Hashes of runs of lines, from ``starts`` to ``stops`` (exclusive)."""
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
-        rising = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
-        self.falling = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * rising)])
+        few = n <= len(_RISING)
+        rising = _RISING[:n] if few else _powers(_BASE, n)
+        self.falling = _FALLING if few else _powers(_INVERSE, n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(hashes) * rising, out=self.sums[1:])
 
     def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         sums = (self.sums[stops] - self.sums[starts]) * self.falling[starts]
@@ -197,8 +214,10 @@ def repeated_runs(
                 repeats = []
                 if grams:
                     found, starts, stops = windows_of(lines, counts, min_words)
-                    again = firsts_and_repeats(found, starts)[1]
-                    own = places(numbers, len(lines), starts[again], stops[again])
+                    own: tuple = ()
+                    if len(set(found.tolist())) < len(found):
+                        again = firsts_and_repeats(found, starts)[1]
+                        own = places(numbers, len(lines), starts[again], stops[again])
                     repeats = [dict(zip(("start", "stop", "next"), s, strict=True)) for s in joined(zip(*(c.tolist() for c in own), strict=True))]
                 row = (lines.view(np.int64), words, numbers, np.array(list(grams), np.uint64).view(np.int64), repeats)
                 for column, values in zip(columns, row, strict=True):

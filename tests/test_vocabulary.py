@@ -183,6 +183,28 @@ def test_longer_runs_are_counted_from_places(spark):
     assert [list(r.codes) for r in ngram_counts.coded(table, ["b", "a"]).collect()] == [[1, 0, 1, 0], [1, 0, -1]]
 
 
+def test_only_pairs_in_full_buckets_are_tallied(spark, monkeypatch):
+    words = [f"w{i:02}" for i in range(40)]
+    lists = [["w00", "w01", words[2 + i], words[39 - i]] for i in range(19)] + [["w05"], [], ["w00", "w01", "w00", "w01"]]
+    table = docs(spark, *lists).repartition(3)
+    codes = ngram_counts.coded(table, words, packed=True)
+    full = ngram_counts.full_buckets(codes, 20, len(words))
+    assert np.flatnonzero(full).tolist() == ngram_counts.bucket_of(np.array([1])).tolist()
+    assert not ngram_counts.full_buckets(codes, 22, len(words)).any()
+    assert not ngram_counts.full_buckets(codes.limit(0), 0, len(words)).any()
+    known = [(words, np.arange(len(words)))]
+
+    def counted(least):
+        return sorted(tuple(r) for r in ngram_counts.frequent_runs(codes, least, known).select("term", "df", "total").collect())
+
+    plain = V.document_frequency(V.with_terms(table, 2, 2)).collect()
+    for bits, pieces in ((ngram_counts.BUCKET_BITS, ngram_counts.PIECE_BITS), (4, 3)):
+        monkeypatch.setattr(ngram_counts, "BUCKET_BITS", bits)
+        monkeypatch.setattr(ngram_counts, "PIECE_BITS", pieces)
+        for least in (0, 1, 2, 20, 21):
+            assert counted(least) == sorted((r.term, r.df, r.total) for r in plain if r.df >= least)
+
+
 ODD = [
     "Ponies' ties - s ies bus grass yes cats aes shoes", None, "", "don't -- '' _ The THE i'm",
     "É caret] KKelvin İz naïve straße", "a\nb c\td", "zebra", "cats", "",

@@ -205,6 +205,16 @@ def test_only_pairs_in_full_buckets_are_tallied(spark, monkeypatch):
             assert counted(least) == sorted((r.term, r.df, r.total) for r in plain if r.df >= least)
 
 
+def test_a_batch_gives_the_first_place_of_a_stem_once(spark):
+    rows = [(7, ["b", "a"]), (None, ["c"]), (3, ["d", "a", "a"]), (3, ["a"]), (5, ["b"])]
+    table = spark.createDataFrame([(k, v, [w + "1" for w in v]) for k, v in rows], "doc_id long, stems array<string>, words array<string>")
+    places = ngram_counts.first_places(table.coalesce(1), ["a", "b", "c", "z"])
+    assert sorted(tuple(r) for r in places.collect() if r.doc_id) == [(3, 0, "a", "a1"), (5, 0, "b", "b1")]
+    assert places.count() == 3
+    named = ngram_counts.first_places(table.coalesce(1).withColumn("doc_id", F.col("doc_id").cast("string")), ["a"])
+    assert named.count() == 3
+
+
 ODD = [
     "Ponies' ties - s ies bus grass yes cats aes shoes", None, "", "don't -- '' _ The THE i'm",
     "É caret] KKelvin İz naïve straße", "a\nb c\td", "zebra", "cats", "",

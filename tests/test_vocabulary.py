@@ -277,3 +277,18 @@ def test_tallies_of_a_task_are_added_up(monkeypatch, held):
     assert n == [2 * v for v in d]
     assert len(found[0]) == 20 if held > 1000 else len(found[0]) < sum(len(c) for c, *_ in parts)
     assert list(ngram_counts.merged(iter([]))) == []
+
+
+def test_doc_frequency_has_the_terms_of_one_document_in_a_thousand(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from topicloom.plans import catalogue
+
+    texts = ["common word"] * 150 + ["quiet thing"] * 150
+    texts[7] += " seldom"
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    got = {r.term: r.df for r in catalogue.QUERIES["doc_frequency"](spark, str(tmp_path)).collect()}
+    assert got["seldom"] == got["word seldom"] == 1
+    assert got["common"] == got["quiet thing"] == 150

@@ -114,3 +114,23 @@ def test_custom_tokenizer(spark):
     df = spark.createDataFrame([(1, "a|b|1")], "doc_id long, text string")
     row = vocabulary.analyze(df, tokenizer=lambda c: F.split(c, r"\|"), stop_words=[], stemmer="none")
     assert row.first().words == ["a", "b"]
+
+
+@pytest.mark.parametrize("as_line", [False, True])
+def test_words_are_cut_in_pieces_of_bounded_bytes(spark, monkeypatch, as_line):
+    import pyarrow as pa
+
+    texts = ["River stones", None, "", "a much longer text than a piece", "été x-ray's", "stones", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+
+    def words():
+        found = rows.select("id", X.letter_words("text", stemmer="s_strip", as_line=as_line).alias("w"))
+        return sorted(map(tuple, found.collect()))
+
+    want = words()
+    monkeypatch.setattr(X, "PIECE_BYTES", 10)
+    assert words() == want
+    pieces = X.pieces(pa.array(texts))
+    assert pa.concat_arrays(pieces).to_pylist() == texts
+    assert max(len("".join(t or "" for t in p.to_pylist()).encode()) for p in pieces) <= 31 + 10
+    assert len(pieces) > 2

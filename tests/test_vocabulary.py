@@ -292,3 +292,28 @@ def test_doc_frequency_has_the_terms_of_one_document_in_a_thousand(spark, tmp_pa
     got = {r.term: r.df for r in catalogue.QUERIES["doc_frequency"](spark, str(tmp_path)).collect()}
     assert got["seldom"] == got["word seldom"] == 1
     assert got["common"] == got["quiet thing"] == 150
+
+
+@pytest.mark.parametrize("as_lines", [False, True])
+def test_batches_are_counted_in_pieces(spark, monkeypatch, as_lines):
+    import pyarrow as pa
+
+    from topicloom.functions import text as X
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"w{n}" for n in rng.integers(0, 6, rng.integers(0, 9))]) for i in range(80)] + [(80, None)]
+    table = spark.createDataFrame(rows, "doc_id long, stems array<string>").coalesce(1)
+    if as_lines:
+        line = F.when(F.size("stems") > 0, F.concat(F.array_join("stems", " "), F.lit(" ")))
+        table = table.withColumn("stems", line)
+
+    def results():
+        terms = V.frequent_terms(table, 4)
+        known = sorted(r.term for r in terms.collect())
+        counts = table.select("doc_id", ngram_counts.known_counts(known).alias("c"))
+        return sorted(map(tuple, terms.collect())), sorted((r.doc_id, str(r.c)) for r in counts.collect())
+
+    want = results()
+    monkeypatch.setattr(X, "PIECE_BYTES", 40)
+    assert len(X.pieces(pa.array([["a"] * 6] * 5))) == 5
+    assert results() == want and len(want[0]) > 20
